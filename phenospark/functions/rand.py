@@ -63,6 +63,20 @@ def uniform_sql(record: str, *stream: int) -> str:
     return f"((({mix(f'xor({mix(low)}, {high})')})::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
 
 
+def np_uniform32(record: np.ndarray, *stream: int) -> np.ndarray:
+    """The same numbers as :func:`uniform`, for a numpy block."""
+    mask, a, b = np.uint64(MASK32), np.uint64(MIX_A), np.uint64(MIX_B)
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(16))) * a & mask
+        x = (x ^ (x >> np.uint64(15))) * b & mask
+        return x ^ (x >> np.uint64(15))
+
+    r = np.asarray(record).astype(np.uint64)
+    h = mix(mix(r & mask ^ np.uint64(stream_key(*stream))) ^ (r >> np.uint64(32)))
+    return (h.astype(np.float64) + 0.5) / 4294967296.0
+
+
 def np_bits(counter: np.ndarray, key: int) -> np.ndarray:
     """64 hashed bits per counter (finaliser of the public splitmix64 generator)."""
     with np.errstate(over="ignore"):

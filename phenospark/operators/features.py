@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from phenospark.operators.axis import Axis, build_axis, encode_axis
@@ -72,13 +72,13 @@ def feature_vectors(tuples: DataFrame) -> tuple[DataFrame, Axis]:
     size = axis.size
 
     @F.pandas_udf(VectorUDT())
-    def sparse(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda row: SparseVector(
-            size, np.array([c["idx"] for c in row], dtype=np.int32), np.array([c["value"] for c in row])))
+    def sparse(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        # the fields of Spark's vector type; type 0 is sparse
+        return pd.DataFrame({"type": np.int8(0), "size": np.int32(size), "indices": indices, "values": values})
 
     cells = feature_matrix_long(stored, axis).groupBy("subject_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("cells"))
-    return cells.select("subject_id", sparse("cells").alias("features")), axis
+        F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "value"))).alias("c"))
+    return cells.select("subject_id", sparse("c.idx", "c.value").alias("features")), axis
 
 
 def scale_vectors(vectors: DataFrame, column: str = "features", out: str = "scaled") -> DataFrame:

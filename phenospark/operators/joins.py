@@ -38,17 +38,20 @@ def lookup(
     row_bytes: int = 64,
     limit: int | None = None,
     skewed: bool = True,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, where ``right`` has one row per key.
 
     A side of known size within the limit is broadcast. Otherwise both sides shuffle on the key,
     and keys that dominate ``left`` are salted: their rows spread over several partitions and the
     single matching row of ``right`` is repeated once per piece. Pass ``skewed=False`` when few
-    rows can share a key; it saves the pass that looks for dominating keys.
+    rows can share a key; it saves the pass that looks for dominating keys. A loop that joins the
+    same left rows again hands in the keys it found once as ``hot``.
     """
     if rows is not None and fits_broadcast(rows, row_bytes, limit):
         return left.join(F.broadcast(right), on, how)
-    hot = hot_keys(left, on) if skewed else None
+    if hot is None and skewed:
+        hot = hot_keys(left, on)
     if hot is None:
         return left.join(right, on, how)
     fan = F.coalesce("_fan", F.lit(1))

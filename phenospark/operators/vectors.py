@@ -17,6 +17,8 @@ def block(column: pa.Array) -> np.ndarray:
 
 def lists(matrix: np.ndarray) -> pa.Array:
     """A float matrix as a list column."""
+    if not matrix.size:
+        return pa.array([], pa.list_(pa.float64()))
     offsets = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 

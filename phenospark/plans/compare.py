@@ -20,7 +20,7 @@ def compare_clusterings(labels: DataFrame, feature_sets: dict[str, DataFrame], k
     out = None
     for name, tuples in feature_sets.items():
         vectors, _ = feature_vectors(tuples)
-        scaled = materialize(scale_vectors(vectors).select("subject_id", "scaled"), f"scaled_{name}").persist()
+        scaled = materialize(scale_vectors(vectors).select("subject_id", "scaled"), f"scaled_{name}")
         for method, fit in (("kmeans", kmeans_fit), ("gmm", gmm_fit)):
             model = fit(scaled, "scaled", k=k, seed=seed)
             assigned = model.transform(scaled).select("subject_id", "cluster")
