@@ -22,32 +22,36 @@ class Axis:
 
 
 def dense_index(
-    df: DataFrame, order: list[str], out: str, start: int = 0, rows_per_task: int | None = None
+    df: DataFrame, order: list[str], out: str, rows_per_task: int | None = None, unique: bool = True
 ) -> tuple[DataFrame, int]:
     """Number the rows of ``df`` 0, 1, 2, ... in the given order; also return how many there are.
 
     A short table is numbered by one window. A longer one is range-partitioned and written with
     its partition number, so that the rows of each partition are counted and numbered from the
-    same stored data; each partition then only adds the count of those before it.
+    same stored data; each partition then only adds the count of those before it. With
+    ``unique=False`` rows may tie in ``order``; a stored tie-breaker keeps many equal rows from
+    falling into one partition.
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
+    if not unique:
+        df, order = df.withColumn("_tie", F.monotonically_increasing_id()), [*order, "_tie"]
     table = materialize(df, "index_input")
     n = table.count()
     if n <= rows_per_task:
         w = Window.orderBy(*order)
-        return table.withColumn(out, F.row_number().over(w).cast("bigint") - 1 + start), n
+        return table.withColumn(out, F.row_number().over(w).cast("bigint") - 1).drop("_tie"), n
     parts = -(-n // rows_per_task)
     ranged = materialize(
         table.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged"
     )
-    before, offsets = start, {}
+    before, offsets = 0, {}
     for part, count in sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()):
         offsets[part] = before
         before += count
     base = F.element_at(F.lit([offsets.get(p, 0) for p in range(max(offsets) + 1)]), F.col("_part") + 1)
     w = Window.partitionBy("_part").orderBy(*order)
     numbered = ranged.withColumn(out, base.cast("bigint") + F.row_number().over(w).cast("bigint") - 1)
-    return materialize(numbered.drop("_part"), "indexed"), n
+    return materialize(numbered.drop("_part", "_tie"), "indexed"), n
 
 
 def build_axis(df: DataFrame, column: str, name: str, rows_per_task: int | None = None) -> Axis:

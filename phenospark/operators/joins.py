@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 64 << 20
@@ -18,15 +19,34 @@ def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFram
 
     At most 1/share keys can qualify, so the answer is small by construction.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
+    counts = df.select(*on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     heavy = counts.where(F.col("_n") > F.lit(share) * total).select(*on, "_n", total.alias("_total")).collect()
     if not heavy:
         return None
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = [tuple(r[c] for c in on) + (max(2, int(2 * parts * r["_n"] / r["_total"])),) for r in heavy]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*on).schema.fields)
-    return df.sparkSession.createDataFrame(rows, f"{fields}, _fan int")
+    return spark.createDataFrame(rows, f"{fields}, _fan int")
+
+
+def spread(left: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """Add ``_piece``: rows of a hot key get one of its pieces, all others 0."""
+    if hot is None:
+        return left.withColumn("_piece", F.lit(0))
+    # the partition number separates rows that are equal in every column
+    piece = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.coalesce("_fan", F.lit(1)))
+    return left.join(F.broadcast(hot), on, "left").withColumn("_piece", piece.cast("int")).drop("_fan")
+
+
+def repeat(right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """The counterpart of :func:`spread`: the row of a hot key once per piece."""
+    if hot is None:
+        return right.withColumn("_piece", F.lit(0))
+    last = F.coalesce("_fan", F.lit(1)) - 1
+    pieces = F.explode(F.sequence(F.lit(0), last))
+    return right.join(F.broadcast(hot), on, "left").withColumn("_piece", pieces).drop("_fan")
 
 
 def lookup(
@@ -38,29 +58,39 @@ def lookup(
     row_bytes: int = 64,
     limit: int | None = None,
     skewed: bool = True,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, where ``right`` has one row per key.
 
     A side of known size within the limit is broadcast. Otherwise both sides shuffle on the key,
     and keys that dominate ``left`` are salted: their rows spread over several partitions and the
     single matching row of ``right`` is repeated once per piece. Pass ``skewed=False`` when few
-    rows can share a key; it saves the pass that looks for dominating keys. A loop that joins the
-    same left rows again hands in the keys it found once as ``hot``.
+    rows can share a key; it saves the pass that looks for dominating keys.
     """
     if rows is not None and fits_broadcast(rows, row_bytes, limit):
         return left.join(F.broadcast(right), on, how)
-    if hot is None and skewed:
-        hot = hot_keys(left, on)
+    hot = hot_keys(left, on) if skewed else None
     if hot is None:
         return left.join(right, on, how)
-    fan = F.coalesce("_fan", F.lit(1))
-    # the partition number separates rows that are equal in every column
-    piece = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), fan).cast("int")
-    spread = left.join(F.broadcast(hot), on, "left").withColumn("_piece", piece).drop("_fan")
-    copies = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), fan - 1)))
-        .drop("_fan")
-    )
-    return spread.join(copies, on + ["_piece"], how).drop("_piece")
+    return spread(left, on, hot).join(repeat(right, on, hot), on + ["_piece"], how).drop("_piece")
+
+
+class Clustered:
+    """Rows kept hash-partitioned by one long key for a loop that joins them again and again.
+
+    The rows move once. Later joins on the key shuffle only the other side, and hot keys are cut
+    into pieces beforehand. Lost blocks are rebuilt from the source of ``df``, so that should be a
+    written table.
+    """
+
+    def __init__(self, df: DataFrame, key: str):
+        self.key = key
+        self.hot = hot_keys(df, [key])
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.rows = spread(df, [key], self.hot).repartition(parts, key, "_piece").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def attach(self, right: DataFrame) -> DataFrame:
+        """Inner join with a table of one row per key."""
+        return self.rows.join(repeat(right, [self.key], self.hot), [self.key, "_piece"]).drop("_piece")
+
+    def release(self) -> None:
+        self.rows.unpersist()

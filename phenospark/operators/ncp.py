@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from phenospark.functions.rand import np_uniform32
 from phenospark.functions.scalars import binarize, rescale
-from phenospark.operators.joins import fits_broadcast, hot_keys, lookup
+from phenospark.operators.joins import Clustered, fits_broadcast, lookup
 from phenospark.operators.vectors import block, lists
 from phenospark.runtime import materialize
 
@@ -85,12 +85,24 @@ def gram(table: DataFrame, rank: int, other: str = "f") -> np.ndarray:
     return out.reshape(rank, rank)
 
 
-def _attach(entries: DataFrame, factors: Factors, modes: list[str], hot: dict | None, limit: int | None) -> DataFrame:
-    for mode in modes:
-        table = factors.tables[mode].select(F.col("idx").alias(mode), F.col("f").alias(f"_{mode}"))
-        known = {} if hot is None or mode not in hot else {"skewed": False, "hot": hot[mode]}
-        entries = lookup(entries, table, [mode], rows=factors.dims[mode], row_bytes=8 * factors.rank + 48, limit=limit, **known)
-    return entries
+def _attach(entries: DataFrame | Clustered, factors: Factors, modes: list[str], limit: int | None) -> DataFrame:
+    """Entries with the factor arrays of the given modes; a clustered mode comes first, in place."""
+    tables = {
+        m: factors.tables[m].select(F.col("idx").alias(m), F.col("f").alias(f"_{m}")) for m in modes}
+    if isinstance(entries, Clustered):
+        if entries.key in tables:
+            rows = entries.attach(tables.pop(entries.key))
+        else:
+            rows = entries.rows.drop("_piece")
+    else:
+        rows = entries
+    for mode, table in tables.items():
+        rows = lookup(rows, table, [mode], rows=factors.dims[mode], row_bytes=_row_bytes(factors.rank), limit=limit)
+    return rows
+
+
+def _row_bytes(rank: int) -> int:
+    return 8 * rank + 48
 
 
 def _products(rank: int, modes: list[str], start: Column | None = None) -> list[Column]:
@@ -99,29 +111,29 @@ def _products(rank: int, modes: list[str], start: Column | None = None) -> list[
 
 
 def mode_numerators(
-    entries: DataFrame, factors: Factors, mode: str, hot: dict | None = None, limit: int | None = None
+    entries: DataFrame | Clustered, factors: Factors, mode: str, limit: int | None = None
 ) -> DataFrame:
     """(idx, num): for each value of a mode, the entries times the other modes' factors, summed.
 
     The R sums are ordinary aggregates, so every task first combines its own rows per index.
     """
     others = [m for m in factors.modes if m != mode]
-    rows = _attach(entries, factors, others, hot, limit)
+    rows = _attach(entries, factors, others, limit)
     sums = [F.sum(p).alias(f"_s{r}") for r, p in enumerate(_products(factors.rank, others, F.col("value")))]
     grouped = rows.groupBy(F.col(mode).alias("idx")).agg(*sums)
     return grouped.select("idx", F.array(*[f"_s{r}" for r in range(factors.rank)]).alias("num"))
 
 
 def ncp_step(
-    entries: DataFrame, factors: Factors, mode: str, grams: dict[str, np.ndarray] | None = None,
-    hot: dict | None = None, limit: int | None = None,
+    entries: DataFrame | Clustered, factors: Factors, mode: str, grams: dict[str, np.ndarray] | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """One multiplicative update of one mode: (idx, f, num) with f * num / denominator as the new f."""
     rank = factors.rank
     others = [m for m in factors.modes if m != mode]
     grams = grams or {m: gram(factors.tables[m], rank) for m in others}
     v = reduce(np.multiply, [grams[m] for m in others])
-    num = mode_numerators(entries, factors, mode, hot, limit)
+    num = mode_numerators(entries, factors, mode, limit)
     joined = factors.tables[mode].select("idx", "f").join(num, "idx", "left")
 
     @F.arrow_udf("array<double>")
@@ -145,7 +157,8 @@ def ncp_fit(
     modes = list(dims)
     summed = materialize(entries.groupBy(*modes).agg(F.sum("value").alias("value")), "entries")
     factors = initial_factors(entries.sparkSession, dims, rank, seed)
-    hot = {m: hot_keys(summed, [m]) for m, n in dims.items() if not fits_broadcast(n, 8 * rank + 48, limit)}
+    longest = max(dims, key=dims.get)
+    rows = summed if fits_broadcast(dims[longest], _row_bytes(rank), limit) else Clustered(summed, longest)
     tables = {m: materialize(t, f"factor_{m}") for m, t in factors.tables.items()}
     factors = Factors(tables, dims, rank)
     grams = {m: gram(tables[m], rank) for m in modes}
@@ -154,7 +167,7 @@ def ncp_fit(
     for iteration in range(iterations):
         for mode in modes:
             others = {m: grams[m] for m in modes if m != mode}
-            updated = ncp_step(summed, factors, mode, others, hot, limit)
+            updated = ncp_step(rows, factors, mode, others, limit)
             table = materialize(updated, f"factor_{mode}", slot=f"{run}-{iteration % 2}")
             factors = Factors({**factors.tables, mode: table}, dims, rank)
             grams[mode] = gram(table, rank)
@@ -163,17 +176,19 @@ def ncp_fit(
         errors.append(float(square - 2.0 * inner + reduce(np.multiply, grams.values()).sum()))
         if len(errors) > 1 and errors[-2] - errors[-1] < tol * errors[-2]:
             break
+    if isinstance(rows, Clustered):
+        rows.release()
     return factors, errors
 
 
 def ncp_reconstruct(
-    coordinates: DataFrame, factors: Factors, out: str = "model", limit: int | None = None, hot: dict | None = None
+    coordinates: DataFrame, factors: Factors, out: str = "model", limit: int | None = None
 ) -> DataFrame:
     """Model value at each given coordinate: the sum over r of the factors' products.
 
     For a dense table such as a matrix, the coordinates given are all its cells.
     """
-    rows = _attach(coordinates, factors, factors.modes, hot, limit)
+    rows = _attach(coordinates, factors, factors.modes, limit)
     value = reduce(lambda a, b: a + b, _products(factors.rank, factors.modes))
     return rows.withColumn(out, value).drop(*[f"_{m}" for m in factors.modes])
 

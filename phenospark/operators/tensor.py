@@ -61,8 +61,13 @@ def tensor_dims(entries: DataFrame) -> DataFrame:
 
 def number_records(tensor: RecordTensor) -> DataFrame:
     """Entries with a dense record number in coordinate order."""
-    order = [c for c in (*AXES, "day") if c in tensor.entries.columns]
-    return dense_index(tensor.entries, order, "rec_id")[0]
+    return number_entries(tensor.entries)
+
+
+def number_entries(entries: DataFrame) -> DataFrame:
+    """The same for a bare coordinate table, in which coordinates may repeat without a day."""
+    order = [c for c in (*AXES, "day") if c in entries.columns]
+    return dense_index(entries, order, "rec_id", unique="day" in order)[0]
 
 
 def triplet_columns(entries: DataFrame) -> DataFrame:

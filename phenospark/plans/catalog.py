@@ -354,6 +354,13 @@ def frozen_sweep(spark, folder):
     return _frozen(_prepare(spark, folder))
 
 
+def _sweep(mode: str) -> Query:
+    def run(spark, folder):
+        p = _prepare(spark, folder)
+        return G.gibbs_sweep(p.assigned, p.dims, p.priors, mode).select("rec_id", "k")
+    return run
+
+
 def compacted(spark, folder):
     return compact_components(_frozen(_prepare(spark, folder)))
 
@@ -587,6 +594,8 @@ QUERIES: dict[str, Query] = {
     "component_weights": component_weights,
     "component_posterior": component_posterior,
     "frozen_sweep": frozen_sweep,
+    "blocked_sweep": _sweep("blocked"),
+    "sharded_sweep": _sweep("sharded"),
     "compact_components": compacted,
     "apply_deltas": applied_deltas,
     "profiles_med": _profile("med"),
