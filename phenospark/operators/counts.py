@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenospark.functions.rand import np_log_gamma_draws, uniform
 from phenospark.functions.special import lgamma
 from phenospark.operators.joins import lookup
+from phenospark.operators.vectors import block, lists
 from phenospark.schema import AXES
 
 # Concentration, prior mass per axis, and components at the start.
@@ -85,21 +88,33 @@ def attach_counts(records: DataFrame, counts: DataFrame, dims: dict[str, int], l
     return records
 
 
-def weight_array(totals: list[tuple[int, int]], dims: dict[str, int], priors: Priors) -> Column:
-    """Weights of the live components for a record with attached counts, itself taken out."""
-    live = F.lit([k for k, _ in totals]).cast("array<bigint>")
-    size = F.lit([float(c) for _, c in totals])
+def _array_columns() -> list[str]:
+    return [f"_{a}" for a in AXES]
+
+
+def weights_block(
+    k: np.ndarray, cells: dict[str, np.ndarray], totals: list[tuple[int, int]], dims: dict[str, int], priors: Priors
+) -> np.ndarray:
+    """Weights for a block of records (rows): each live component, then a new one. The record's
+    own count is taken out of its component."""
+    live = np.array([c for c, _ in totals])
+    own = (k[:, None] == live).astype(np.float64)
+    rest = np.array([float(n) for _, n in totals]) - own
+    w = rest.copy()
+    for axis in ("patient", "med", "diag"):
+        g = priors.gamma[axis]
+        w *= (cells[axis] - own + g) / (rest + dims[axis] * g)
+    return np.column_stack([w, np.full(len(w), new_weight(dims, priors))])
+
 
-    def weight(i: Column) -> Column:
-        own = F.when(F.col("k") == live[i], F.lit(1.0)).otherwise(F.lit(0.0))
-        rest = size[i] - own
-        w = rest
-        for axis in ("patient", "med", "diag"):
-            g = priors.gamma[axis]
-            w = w * ((F.col(f"_{axis}")[i] - own + F.lit(g)) / (rest + F.lit(dims[axis] * g)))
-        return w
+def weight_array(totals: list[tuple[int, int]], dims: dict[str, int], priors: Priors) -> Column:
+    """The weights of a record with attached counts, as an array column."""
+    @F.arrow_udf("array<double>")
+    def weights(k: pa.Array, patient: pa.Array, diag: pa.Array, med: pa.Array) -> pa.Array:
+        cells = dict(zip(AXES, map(block, (patient, diag, med))))
+        return lists(weights_block(k.to_numpy(), cells, totals, dims, priors)) if len(k) else lists(np.empty(0))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(len(totals) - 1)), weight)
+    return weights("k", *_array_columns())
 
 
 def new_weight(dims: dict[str, int], priors: Priors) -> float:
@@ -116,8 +131,7 @@ def component_weights(
     """
     totals = live_totals(counts)
     rows = attach_counts(assigned, counts, dims, [k for k, _ in totals])
-    w = F.concat(weight_array(totals, dims, priors), F.array(F.lit(new_weight(dims, priors))))
-    rows = rows.select("rec_id", w.alias("_w"))
+    rows = rows.select("rec_id", weight_array(totals, dims, priors).alias("_w"))
     name = "weight"
     if normalise:
         name = "prob"
@@ -131,12 +145,15 @@ def component_weights(
 def draw_category(weights: Column | str, u: Column) -> Column:
     """First 0-based position whose running weight reaches ``u`` times the total."""
     total = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
+    # the goal travels in the accumulator, so it is worked out once per record
+    start = F.struct(
+        F.lit(0.0).alias("run"), F.lit(0).alias("i"), F.lit(-1).alias("at"), (u * total).alias("goal"))
 
     def step(s: Column, w: Column) -> Column:
         run = s["run"] + w
-        hit = (s["at"] < 0) & (run >= u * total)
-        return F.struct(run.alias("run"), (s["i"] + 1).alias("i"), F.when(hit, s["i"]).otherwise(s["at"]).alias("at"))
+        hit = (s["at"] < 0) & (run >= s["goal"])
+        at = F.when(hit, s["i"]).otherwise(s["at"])
+        return F.struct(run.alias("run"), (s["i"] + 1).alias("i"), at.alias("at"), s["goal"].alias("goal"))
 
     return F.aggregate(weights, start, step, lambda s: s["at"])
 
@@ -174,19 +191,19 @@ def score_triplets(records: DataFrame, counts: DataFrame, dims: dict[str, int],
     the three profile probabilities."""
     totals = live_totals(counts)
     rows = attach_counts(records, counts, dims, [k for k, _ in totals])
-    size = F.lit([float(c) for _, c in totals])
-    n = float(sum(c for _, c in totals))
-
-    def part(i: Column) -> Column:
-        p = size[i] / F.lit(n)
-        for axis in AXES:
-            g = priors.gamma[axis]
-            p = p * ((F.col(f"_{axis}")[i] + F.lit(g)) / (size[i] + F.lit(dims[axis] * g)))
-        return p
-
-    parts = F.transform(F.sequence(F.lit(0), F.lit(len(totals) - 1)), part)
-    score = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
-    return rows.withColumn("score", score).drop(*[f"_{a}" for a in AXES])
+    size = np.array([float(c) for _, c in totals])
+    share = size / size.sum()
+
+    @F.arrow_udf("double")
+    def likelihood(patient: pa.Array, diag: pa.Array, med: pa.Array) -> pa.Array:
+        p = np.tile(share, (len(patient), 1))
+        for axis, column in zip(AXES, (patient, diag, med)):
+            if len(column):
+                g = priors.gamma[axis]
+                p *= (block(column) + g) / (size + dims[axis] * g)
+        return pa.array(p.sum(axis=1))
+
+    return rows.withColumn("score", likelihood(*_array_columns())).drop(*_array_columns())
 
 
 def log_joint(counts: DataFrame, dims: dict[str, int], priors: Priors, r: int = K_MAX) -> DataFrame:

@@ -59,7 +59,9 @@ def feature_axis(tuples: DataFrame) -> Axis:
 
 def feature_matrix_long(tuples: DataFrame, axis: Axis | None = None) -> DataFrame:
     """(subject_id, idx, value): the non-zero cells of the patient x feature matrix."""
-    axis = axis or feature_axis(tuples)
+    if axis is None:
+        tuples = materialize(tuples, "feature_tuples")
+        axis = feature_axis(tuples)
     keyed = tuples.select("subject_id", F.struct("source", "feature").alias("f"), "value")
     return encode_axis(keyed, axis, "f", "idx").select("subject_id", "idx", "value")
 

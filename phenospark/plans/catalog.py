@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from phenospark.functions.rand import uniform
 from phenospark.functions.scalars import argmax_component, binarize, relative_day, rescale, table_name_of
 from phenospark.operators import counts as C
 from phenospark.operators import features as FT
@@ -346,6 +347,14 @@ def component_posterior(spark, folder):
     return _round(C.component_weights(p.assigned, p.counts, p.dims, p.priors, normalise=True), 9, "prob")
 
 
+def draw_category(spark, folder):
+    p = _prepare(spark, folder)
+    totals = C.live_totals(p.counts)
+    rows = C.attach_counts(p.assigned, p.counts, p.dims, [k for k, _ in totals])
+    rows = rows.select("rec_id", C.weight_array(totals, p.dims, p.priors).alias("w"))
+    return rows.select("rec_id", C.draw_category("w", uniform("rec_id", 1, 1)).alias("at"))
+
+
 def _frozen(p: _Prepared) -> DataFrame:
     return G.frozen_sweep(p.assigned, p.counts, p.dims, p.priors)
 
@@ -593,6 +602,7 @@ QUERIES: dict[str, Query] = {
     "component_counts": component_counts,
     "component_weights": component_weights,
     "component_posterior": component_posterior,
+    "draw_category": draw_category,
     "frozen_sweep": frozen_sweep,
     "blocked_sweep": _sweep("blocked"),
     "sharded_sweep": _sweep("sharded"),

@@ -261,6 +261,8 @@ _BODIES: dict[str, str] = {
     "component_counts": _counts_of("z"),
     "component_weights": "SELECT rec_id, k, round(weight, 12) AS weight FROM w",
     "component_posterior": "SELECT rec_id, k, round(weight / sum(weight) OVER (PARTITION BY rec_id), 9) AS prob FROM w",
+    "draw_category": """
+        SELECT rec_id, CAST(count(tot.k) AS INTEGER) AS at FROM drawn LEFT JOIN tot ON tot.k < ord GROUP BY rec_id""",
     "frozen_sweep": "SELECT rec_id, k FROM frozen",
     "compact_components": """
         SELECT rec_id, k, k_compact FROM frozen

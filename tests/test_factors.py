@@ -34,11 +34,11 @@ def test_one_update_is_the_published_rule(spark, planted):
 
 def test_error_falls_and_matches_the_dense_one(spark, planted):
     dims = dict(zip(("patient", "diag", "med"), planted.shape))
-    factors, errors = N.ncp_fit(tensor(spark, planted), dims, rank=2, iterations=6, tol=0)
+    factors, errors = N.ncp_fit(tensor(spark, planted), dims, rank=2, iterations=4, tol=0)
     assert all(b <= a + 1e-9 for a, b in zip(errors, errors[1:]))
     model = np.einsum("ir,jr,kr->ijk", *(dense(factors, m) for m in dims))
     assert abs(((planted - model) ** 2).sum() - errors[-1]) < 1e-8
-    far, same = N.ncp_fit(tensor(spark, planted), dims, rank=2, iterations=6, tol=0, limit=0)
+    far, same = N.ncp_fit(tensor(spark, planted), dims, rank=2, iterations=4, tol=0, limit=0)
     np.testing.assert_allclose(same, errors)
     unit, weights = N.normalised(factors)
     again = np.einsum("r,ir,jr,kr->ijk", weights, *(dense(unit, m) for m in dims))
@@ -50,7 +50,7 @@ def test_matrix_as_two_modes(spark):
     x[:3, :3] = 1
     x[3:, 3:] = 1
     cells = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "row long, col long, value double")
-    factors, _ = N.ncp_fit(cells, {"row": 6, "col": 6}, rank=2, iterations=25, tol=0)
+    factors, _ = N.ncp_fit(cells, {"row": 6, "col": 6}, rank=2, iterations=12, tol=0)
     rows = N.ncp_mask(cells, factors).collect()
     assert len(rows) == 36
     assert all(r["mask"] == r["value"] for r in rows)
