@@ -14,6 +14,7 @@ from phenospark.functions.rand import np_log_gamma_draws, uniform
 from phenospark.functions.special import lgamma
 from phenospark.operators.joins import lookup
 from phenospark.operators.vectors import block, lists
+from phenospark.runtime import materialize
 from phenospark.schema import AXES
 
 # Concentration, prior mass per axis, and components at the start.
@@ -81,10 +82,12 @@ def count_arrays(counts: DataFrame, axis: str, live: list[int]) -> DataFrame:
 
 def attach_counts(records: DataFrame, counts: DataFrame, dims: dict[str, int], live: list[int], limit: int | None = None) -> DataFrame:
     """Each record with the count array of its patient, diagnosis and medication: a record stays
-    one row, whatever the number of components."""
+    one row, whatever the number of components. A value without counts gets zeros."""
+    zeros = F.lit([0.0] * len(live))
     for axis in AXES:
         arrays = count_arrays(counts, axis, live)
-        records = lookup(records, arrays, [axis], rows=dims[axis], row_bytes=8 * len(live) + 48, limit=limit)
+        records = lookup(records, arrays, [axis], "left", rows=dims[axis], row_bytes=8 * len(live) + 48, limit=limit)
+        records = records.withColumn(f"_{axis}", F.coalesce(f"_{axis}", zeros))
     return records
 
 
@@ -246,11 +249,12 @@ def dirichlet_draws(counts: DataFrame, dims: dict[str, int], priors: Priors, axi
 
     base = profiles(counts, dims, priors, axis).select("axis", "k", "idx")
     found = counts.where(F.col("axis") == axis).select("k", "idx", "cnt")
-    cells = base.join(found, ["k", "idx"], "left").select(
+    cells = materialize(base.join(found, ["k", "idx"], "left").select(
         "axis", "k", "idx",
-        log_gamma(F.coalesce("cnt", F.lit(0)) + F.lit(g), F.col("k") * F.lit(n) + F.col("idx")).alias("_lg"))
+        log_gamma(F.coalesce("cnt", F.lit(0)) + F.lit(g), F.col("k") * F.lit(n) + F.col("idx")).alias("_lg")), "gammas")
     top = cells.groupBy("k").agg(F.max("_lg").alias("_top"))
-    shifted = lookup(cells, top, ["k"], rows=len(live_totals(counts))).withColumn("_e", F.exp(F.col("_lg") - F.col("_top")))
+    live = len(live_totals(counts))
+    shifted = lookup(cells, top, ["k"], rows=live).withColumn("_e", F.exp(F.col("_lg") - F.col("_top")))
     norm = shifted.groupBy("k").agg(F.sum("_e").alias("_sum"))
-    return lookup(shifted, norm, ["k"], rows=len(live_totals(counts))).select(
+    return lookup(shifted, norm, ["k"], rows=live).select(
         "axis", "k", "idx", (F.col("_e") / F.col("_sum")).alias("prob"))

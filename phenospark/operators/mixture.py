@@ -131,12 +131,14 @@ def mixture_from_step(step: DataFrame) -> Mixture:
 def seed_components(df: DataFrame, order: str, column: str, k: int, seed: int, samples: int = SAMPLES_PER_COMPONENT) -> DataFrame:
     """k * samples rows drawn with replacement: (component, draw, column).
 
-    The driver only draws row numbers; the rows come from a join with the numbered table.
+    The driver only draws row numbers. Keys alone are numbered; the few keys drawn then pick their
+    vectors. ``order`` is a column that is unique per row.
     """
-    numbered, n = dense_index(df.select(order, column), [order], "_row")
+    numbered, n = dense_index(df.select(order), [order], "_row")
     draws = [(i // samples, i % samples, int(u * n)) for i, u in enumerate(np_uniform(np.arange(k * samples), seed))]
     wanted = df.sparkSession.createDataFrame(draws, "component int, draw int, _row bigint")
-    return numbered.join(F.broadcast(wanted), "_row").select("component", "draw", column)
+    keys = numbered.join(F.broadcast(wanted), "_row")
+    return df.select(order, column).join(F.broadcast(keys), order).select("component", "draw", column)
 
 
 def gmm_init(df: DataFrame, order: str, column: str, k: int = 2, seed: int = 1) -> Mixture:

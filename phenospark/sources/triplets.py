@@ -40,8 +40,8 @@ def read_triplets_text(
 def write_triplets_text(entries: DataFrame, path: str, seed: int = 0, offset: int = 0) -> None:
     """Write entries in random order under a header of sizes (one more than the largest index).
 
-    The order comes from a seeded hash of the coordinates and a seeded random number, range-sorted
-    over the cluster; the header sorts before everything and so opens the first part file.
+    Records are range-sorted over the cluster by a seeded random number; the header sorts before
+    everything and so opens the first part file.
     """
     sizes = entries.agg(
         F.count(F.lit(1)).alias("n"), *[(F.max(c) + 1).alias(c) for c in FIELDS]

@@ -139,6 +139,27 @@ def test_driver_and_table_paths_draw_the_same(spark, records):
     assert stated["log_joint"] == pytest.approx(last["log_joint"])
 
 
+def test_scores_of_unseen_values_come_from_the_prior(spark):
+    dims = {"patient": 2, "diag": 2, "med": 2}
+    df = frame(spark, [(0, 0, 0, 0, 0), (1, 0, 0, 0, 0)])
+    counts, priors = C.component_counts(df), C.Priors.from_dims(dims)
+    new = frame(spark, [(5, 1, 1, 1, 0), (6, 0, 0, 0, 0)]).drop("k")
+    got = {r["rec_id"]: r["score"] for r in C.score_triplets(new, counts, dims, priors).collect()}
+    assert got[5] == pytest.approx((25 / 52) ** 3)
+    assert got[6] == pytest.approx((27 / 52) ** 3)
+
+
+def test_one_patient_with_most_records(spark):
+    _, rows = planted(300, seed=7)
+    rows[: 200, 1] = 4
+    df = frame(spark, rows).drop("k")
+    got = [
+        sorted(map(str, G.fit_phenotypes(df, DIMS, sweeps=2, seed=2, limit=limit).assignments.select("rec_id", "k").collect()))
+        for limit in (None, 0)
+    ]
+    assert got[0] == got[1] and len(got[0]) == 300
+
+
 def test_slots_double_when_none_is_left(spark, records):
     _, rows, df = records
     fit = G.fit_phenotypes(df.drop("k"), DIMS, sweeps=2, seed=2, k0=2, k_max=2)
