@@ -10,6 +10,7 @@ from phenospark.operators.joins import lookup
 from phenospark.runtime import materialize
 
 ROWS_PER_TASK = 250_000
+MAX_PARTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ def dense_index(
     if n <= rows_per_task:
         w = Window.orderBy(*order)
         return table.withColumn(out, F.row_number().over(w).cast("bigint") - 1).drop("_tie"), n
-    parts = -(-n // rows_per_task)
+    parts = min(-(-n // rows_per_task), MAX_PARTS)
     ranged = materialize(
         table.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged"
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.sql import DataFrame, functions as F
 
-from phenospark.functions.rand import np_uniform
+from phenospark.functions.rand import np_uniform32
 from phenospark.operators.axis import dense_index
 from phenospark.operators.vectors import block, collect_matrix, dimension_stats, lists
 
@@ -135,7 +135,7 @@ def seed_components(df: DataFrame, order: str, column: str, k: int, seed: int, s
     vectors. ``order`` is a column that is unique per row.
     """
     numbered, n = dense_index(df.select(order), [order], "_row")
-    draws = [(i // samples, i % samples, int(u * n)) for i, u in enumerate(np_uniform(np.arange(k * samples), seed))]
+    draws = [(i // samples, i % samples, int(u * n)) for i, u in enumerate(np_uniform32(np.arange(k * samples), seed))]
     wanted = df.sparkSession.createDataFrame(draws, "component int, draw int, _row bigint")
     keys = numbered.join(F.broadcast(wanted), "_row")
     return df.select(order, column).join(F.broadcast(keys), order).select("component", "draw", column)

@@ -295,7 +295,8 @@ def gmm_init(spark, folder):
         (k, d, float(start.weights[k]), float(start.means[k, d]), float(start.covariances[k, d]))
         for k, d in np.ndindex(*start.means.shape)
     ]
-    return spark.createDataFrame(rows, "k int, dim int, weight double, mean double, var double")
+    out = spark.createDataFrame(rows, "k int, dim int, weight double, mean double, var double")
+    return _round(out, 9, "weight", "mean", "var")
 
 
 def gmm_fit_diagonal(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from phenospark.functions.rand import uniform_sql
 from phenospark.functions.scalars import DAY_ORIGIN, TABLE_NAME_PATTERN
 from phenospark.operators.counts import ALPHA, GAMMA_BASE, K0, K_MAX
-from phenospark.operators.mixture import EPSILON
+from phenospark.operators.mixture import EPSILON, SAMPLES_PER_COMPONENT
 from phenospark.operators.ncp import FLOOR, RANK
 from phenospark.plans.catalog import RULES
 
@@ -257,6 +257,13 @@ _BODIES: dict[str, str] = {
           round(sum(resp * x * x) / sum(resp) - (sum(resp * x) / sum(resp)) * (sum(resp * x) / sum(resp)), 6) AS var,
           round(sum(ln(total)), 6) AS log_likelihood
         FROM emb JOIN resp USING (vec_id) GROUP BY k, dim""",
+    "gmm_init": f"""
+        SELECT CAST(i // {SAMPLES_PER_COMPONENT} AS INTEGER) AS k, dim, round(1.0::DOUBLE / 3, 9) AS weight,
+          round(avg(x), 9) AS mean, round(var_pop(x), 9) AS var
+        FROM (SELECT i, CAST(floor({uniform_sql('i', 1)} * (SELECT count(*) FROM embeddings)) AS BIGINT) AS pos
+              FROM (SELECT unnest(range(0, {3 * SAMPLES_PER_COMPONENT})) AS i))
+        JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings) USING (pos)
+        JOIN emb USING (vec_id) GROUP BY ALL""",
     "init_assignments": "SELECT rec_id, patient, diag, med, k FROM z",
     "component_counts": _counts_of("z"),
     "component_weights": "SELECT rec_id, k, round(weight, 12) AS weight FROM w",

@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from phenospark.operators.joins import lookup
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def medication(spark: SparkSession, folder: str) -> DataFrame:
-    """(subject_id, date, med_name): a brand shipped to a customer."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
-    parts = table(spark, folder, "part").select("p_partkey", "p_brand")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("o_custkey").alias("subject_id"),
-            F.to_date("l_shipdate").alias("date"),
-            F.col("p_brand").alias("med_name"),
-        )
-    )
+    """(subject_id, date, med_name): a brand shipped to a customer.
+
+    Orders and parts have one row per key. Their sizes come from the file footers: small ones are
+    broadcast, beyond that an order or part with very many lines is salted.
+    """
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", F.to_date("l_shipdate").alias("date"))
+    lines = lookup(lines, orders, ["l_orderkey"], rows=orders.count())
+    lines = lookup(lines, parts, ["l_partkey"], rows=parts.count())
+    return lines.select(F.col("o_custkey").alias("subject_id"), "date", F.col("p_brand").alias("med_name"))
 
 
 def diagnostic(spark: SparkSession, folder: str) -> DataFrame:
