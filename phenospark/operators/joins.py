@@ -31,19 +31,15 @@ def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFram
     return spark.createDataFrame(rows, f"{fields}, _fan int")
 
 
-def spread(left: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+def spread(left: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
     """Add ``_piece``: rows of a hot key get one of its pieces, all others 0."""
-    if hot is None:
-        return left.withColumn("_piece", F.lit(0))
     # the partition number separates rows that are equal in every column
     piece = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.coalesce("_fan", F.lit(1)))
     return left.join(F.broadcast(hot), on, "left").withColumn("_piece", piece.cast("int")).drop("_fan")
 
 
-def repeat(right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+def repeat(right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
     """The counterpart of :func:`spread`: the row of a hot key once per piece."""
-    if hot is None:
-        return right.withColumn("_piece", F.lit(0))
     last = F.coalesce("_fan", F.lit(1)) - 1
     pieces = F.explode(F.sequence(F.lit(0), last))
     return right.join(F.broadcast(hot), on, "left").withColumn("_piece", pieces).drop("_fan")
@@ -85,12 +81,17 @@ class Clustered:
     def __init__(self, df: DataFrame, key: str):
         self.key = key
         self.hot = hot_keys(df, [key])
+        self.on = [key] if self.hot is None else [key, "_piece"]
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = spread(df, [key], self.hot).repartition(parts, key, "_piece").persist(StorageLevel.MEMORY_AND_DISK)
+        laid = df if self.hot is None else spread(df, [key], self.hot)
+        self.rows = laid.repartition(parts, *self.on).persist(StorageLevel.MEMORY_AND_DISK)
+        # fills the cache: its layout counts for later plans only once it is there
+        self.rows.count()
 
     def attach(self, right: DataFrame) -> DataFrame:
         """Inner join with a table of one row per key."""
-        return self.rows.join(repeat(right, [self.key], self.hot), [self.key, "_piece"]).drop("_piece")
+        copies = right if self.hot is None else repeat(right, [self.key], self.hot)
+        return self.rows.join(copies, self.on).drop("_piece")
 
     def release(self) -> None:
         self.rows.unpersist()

@@ -6,6 +6,7 @@ tensor count as zeros through R x R Gram matrices; they are never stored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -163,7 +164,7 @@ def ncp_fit(
     factors = Factors(tables, dims, rank)
     grams = {m: gram(tables[m], rank) for m in modes}
     square = summed.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
-    run, errors = f"ncp{id(summed)}", []
+    run, errors = f"ncp-{uuid.uuid4().hex[:12]}", []
     for iteration in range(iterations):
         for mode in modes:
             others = {m: grams[m] for m in modes if m != mode}

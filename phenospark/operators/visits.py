@@ -16,7 +16,7 @@ def with_day(events: DataFrame, item: str, origin: str = DAY_ORIGIN) -> DataFram
 
 
 def assign_visit_day(
-    medication: DataFrame, diagnostic: DataFrame, tolerance: int = 7, origin: str = DAY_ORIGIN, strategy: str = "bucket"
+    medication: DataFrame, diagnostic: DataFrame, tolerance: int = 7, origin: str = DAY_ORIGIN, strategy: str | None = None
 ) -> DataFrame:
     """Medication rows with the diagnosis day each belongs to: (subject_id, day, med_name, assigned).
 
@@ -34,7 +34,7 @@ def visit_sides(
     diagnostic: DataFrame,
     tolerance: int = 7,
     origin: str = DAY_ORIGIN,
-    strategy: str = "bucket",
+    strategy: str | None = None,
     debug_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The two long tables of visits: distinct (subject, day, code) and (subject, day, med_name).

@@ -136,8 +136,10 @@ def asof_visit(spark, folder):
     return VS.assign_visit_day(*_events(spark, folder))
 
 
-def asof_visit_expand(spark, folder):
-    return VS.assign_visit_day(*_events(spark, folder), strategy="expand")
+def _asof_visit(strategy: str) -> Query:
+    def run(spark, folder):
+        return VS.assign_visit_day(*_events(spark, folder), strategy=strategy)
+    return run
 
 
 def visits(spark, folder):
@@ -560,7 +562,8 @@ def store_factors(spark, folder):
 QUERIES: dict[str, Query] = {
     "relative_day": relative_days,
     "asof_visit": asof_visit,
-    "asof_visit_expand": asof_visit_expand,
+    "asof_visit_bucket": _asof_visit("bucket"),
+    "asof_visit_expand": _asof_visit("expand"),
     "visits": visits,
     "visit_pairs": visit_pairs,
     "axis_patient": _axis("subject_id"),

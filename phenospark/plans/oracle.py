@@ -204,6 +204,7 @@ _LOG_JOINT = f"""
 _BODIES: dict[str, str] = {
     "relative_day": f"SELECT subject_id, med_name, CAST(date_diff('day', DATE '{DAY_ORIGIN}', date) AS INTEGER) AS day FROM med",
     "asof_visit": "SELECT * FROM nearest_day",
+    "asof_visit_bucket": "SELECT * FROM nearest_day",
     "asof_visit_expand": "SELECT * FROM nearest_day",
     "visits": """
         SELECT subject_id, day, codes, meds

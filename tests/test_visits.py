@@ -21,9 +21,18 @@ def test_edges(spark, strategy):
     assert [a for _, _, a in got] == [None, 10, 10, 14, 14, None, None]
 
 
-def test_unknown_strategy(spark):
+def test_unfit_strategies(spark):
     with pytest.raises(ValueError):
         assign(spark, [(1, 1)], [(1, 1)], "window")
+    with pytest.raises(ValueError):
+        assign(spark, [(1, 1)], [(1, 1)], "bits", tolerance=32)
+
+
+def test_longest_tolerances(spark):
+    meds, visits = [(1, d) for d in range(-70, 70)], [(1, d) for d in (-64, -31, -30, 0, 31, 60)]
+    for tolerance in (31, 40):
+        got = {s: assign(spark, meds, visits, s, tolerance) for s in (None, "bucket", "expand")}
+        assert got[None] == got["bucket"] == got["expand"]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -57,17 +66,19 @@ def test_one_subject_holding_most_rows(spark):
     kept.release()
 
 
-def test_clustered_rows_do_not_move_again(spark):
-    left = spark.range(1000).selectExpr("id % 50 as key", "id as n")
-    kept = joins.Clustered(left, "key")
+@pytest.mark.parametrize("keys", [50, 500])
+def test_clustered_rows_do_not_move_again(spark, keys):
+    """With hot keys (each of 50 holds 2%) and without."""
+    kept = joins.Clustered(spark.range(1000).selectExpr(f"id % {keys} as key", "id as n"), "key")
+    assert (kept.hot is not None) == (keys == 50)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = kept.attach(spark.range(50).selectExpr("id as key", "id + 1 as v"))
+        joined = kept.attach(spark.range(keys).selectExpr("id as key", "id + 1 as v"))
         plan = joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    outer = plan.split("InMemoryRelation")[0]
-    assert "Exchange" not in outer
+    before_cache = plan.split("InMemoryRelation")[0]
+    assert "SortMergeJoin" in before_cache and "Exchange" not in before_cache
     assert joined.count() == 1000
     kept.release()
 
