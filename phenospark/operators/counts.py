@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from phenospark.functions.rand import np_log_gamma_draws, uniform
+from phenospark.functions.rand import np_log_gamma_draws, np_uniform, uniform
 from phenospark.functions.special import lgamma
 from phenospark.operators.joins import lookup
 from phenospark.operators.vectors import block, lists
@@ -37,6 +37,13 @@ class Priors:
         return cls(alpha, {a: base / n for a, n in dims.items()})
 
 
+def stick_breaking_weights(alpha: float, k: int, seed: int = 1) -> np.ndarray:
+    """The first k component weights of the prior: shares b_1, b_2 (1 - b_1), ... with
+    b ~ Beta(1, alpha). A handful of numbers, for making test data."""
+    b = 1.0 - np_uniform(np.arange(k), seed) ** (1.0 / alpha)
+    return b * np.concatenate([[1.0], np.cumprod(1.0 - b)[:-1]])
+
+
 def init_assignments(records: DataFrame, seed: int = 1, k0: int = K0) -> DataFrame:
     """A uniform component 0..k0-1 for each record, fixed by (seed, rec_id)."""
     k = F.floor(uniform("rec_id", seed, 0) * F.lit(float(k0))).cast("bigint")

@@ -37,6 +37,13 @@ def test_leave_one_out_weights(spark):
     assert got[-1] == pytest.approx(0.5 / 8)
 
 
+def test_stick_breaking():
+    means = np.mean([C.stick_breaking_weights(0.5, 50, seed) for seed in range(4000)], axis=0)
+    # E b = 1 / (1 + alpha), and what is left shrinks by alpha / (1 + alpha) each time
+    np.testing.assert_allclose(means[:3], [2 / 3, 2 / 9, 2 / 27], atol=0.02)
+    assert C.stick_breaking_weights(0.5, 50).sum() <= 1 + 1e-12
+
+
 def test_draw_takes_the_first_weight_reached(spark):
     df = spark.createDataFrame([(0.0,), (0.25,), (0.26,), (0.75,), (1.0,)], "u double").withColumn("w", F.array(*map(F.lit, (0.5, 0.0, 1.0, 0.5))))
     got = [r["at"] for r in df.orderBy("u").select(C.draw_category("w", F.col("u")).alias("at")).collect()]
