@@ -106,9 +106,9 @@ def _row_bytes(rank: int) -> int:
     return 8 * rank + 48
 
 
-def _products(rank: int, modes: list[str], start: Column | None = None) -> list[Column]:
-    first = [start] if start is not None else []
-    return [reduce(lambda a, b: a * b, first + [F.col(f"_{m}")[r] for m in modes]) for r in range(rank)]
+def _products(rank: int, modes: list[str], *first: str) -> list[str]:
+    """Per component, the product of the attached factors (and other columns) as SQL text."""
+    return [" * ".join([*first, *[f"`_{m}`[{r}]" for m in modes]]) for r in range(rank)]
 
 
 def mode_numerators(
@@ -120,7 +120,7 @@ def mode_numerators(
     """
     others = [m for m in factors.modes if m != mode]
     rows = _attach(entries, factors, others, limit)
-    sums = [F.sum(p).alias(f"_s{r}") for r, p in enumerate(_products(factors.rank, others, F.col("value")))]
+    sums = [F.expr(f"sum({p}) as _s{r}") for r, p in enumerate(_products(factors.rank, others, "value"))]
     grouped = rows.groupBy(F.col(mode).alias("idx")).agg(*sums)
     return grouped.select("idx", F.array(*[f"_s{r}" for r in range(factors.rank)]).alias("num"))
 
@@ -190,8 +190,8 @@ def ncp_reconstruct(
     For a dense table such as a matrix, the coordinates given are all its cells.
     """
     rows = _attach(coordinates, factors, factors.modes, limit)
-    value = reduce(lambda a, b: a + b, _products(factors.rank, factors.modes))
-    return rows.withColumn(out, value).drop(*[f"_{m}" for m in factors.modes])
+    value = " + ".join(_products(factors.rank, factors.modes))
+    return rows.withColumn(out, F.expr(value)).drop(*[f"_{m}" for m in factors.modes])
 
 
 def ncp_mask(coordinates: DataFrame, factors: Factors, threshold: float = 0.5, limit: int | None = None) -> DataFrame:
