@@ -123,7 +123,7 @@ def _round(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def _out(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{scratch_root(spark)}/{name}_{uuid.uuid4().hex[:8]}"
 
 
 # ---- visits and tensor --------------------------------------------------------------------------

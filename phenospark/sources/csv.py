@@ -12,6 +12,11 @@ def _name_of(spark: SparkSession, path: str) -> str:
     return spark.range(1).select(table_name_of(F.lit(path)).alias("name")).first()["name"]
 
 
+def _register(df: DataFrame, name: str) -> None:
+    # quoted, because a file may be called 2024.csv
+    df.createOrReplaceTempView(f"`{name}`")
+
+
 def read_csv_table(
     spark: SparkSession, path: str, name: str | None = None, schema: T.StructType | None = None
 ) -> DataFrame:
@@ -20,7 +25,7 @@ def read_csv_table(
     Columns are strings unless a schema is given; nothing is inferred, so the file is read once.
     """
     df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False if schema else None)
-    df.createOrReplaceTempView(name or _name_of(spark, path))
+    _register(df, name or _name_of(spark, path))
     return df
 
 
@@ -47,7 +52,7 @@ def load_clinical_events(
     tables = []
     for path, layout in ((medication_path, S.MEDICATION), (lab_path, S.LAB_RESULT), (diagnostic_path, S.DIAGNOSTIC)):
         df = _columns_of(spark, path, layout)
-        df.createOrReplaceTempView(_name_of(spark, path))
+        _register(df, _name_of(spark, path))
         tables.append(df)
     return tuple(tables)
 

@@ -18,6 +18,8 @@ def test_csv_becomes_a_view_named_after_its_file(spark, tmp_path):
     assert spark.sql("select b from visit_list").first()["b"] == "x"
     CSV.read_csv_table(spark, write(tmp_path / "t.csv", "a,b\n2,y\n"), name="other_name")
     assert spark.sql("select a from other_name").first()["a"] == "2"
+    CSV.read_csv_table(spark, write(tmp_path / "2024.csv", "a,b\n3,z\n"))
+    assert spark.sql("select a from `2024`").first()["a"] == "3"
 
 
 def test_events_read_only_what_they_need(spark, tmp_path):
