@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenospark.llm import chat, mixing, quality
-from phenospark.llm.common import read
+import public_tokenizers
+
+from phenospark.llm import bpe, chat, mixing, quality, tokencount
+from phenospark.llm.common import prepare, read
 from phenospark.runtime import materialize
 
 
@@ -23,6 +25,14 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    shared = tokencount.share_tokenizer(spark, public_tokenizers.path("word_bpe_49k.json"))
+    counted = tokencount.count_tokens(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")), shared)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op8_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -34,8 +44,23 @@ def op8_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.chat_windows(turns.unionByName(extra)))
 
 
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    shared = bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(docs, shared, public_tokenizers.PATTERN).drop("text")
+    both = bpe.decode(encoded, shared, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return both.select(
+        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
+    "op6_token_counts": op6_token_counts,
     "op8_chat_windows": op8_chat_windows,
+    "op9_byte_bpe": op9_byte_bpe,
 }
