@@ -114,4 +114,17 @@ FROM body b LEFT JOIN history h ON b.conv_id IS NOT DISTINCT FROM h.conv_id
 LEFT JOIN lead l ON b.conv_id IS NOT DISTINCT FROM l.conv_id LEFT JOIN k ON b.conv_id IS NOT DISTINCT FROM k.conv_id
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3, "op4_mix_sources": OP4, "op8_chat_windows": OP8}
+OP7 = rf"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM d),
+one AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+k AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM one ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_quality_rules": OP3, "op4_mix_sources": OP4, "op7_substring_dedup": OP7, "op8_chat_windows": OP8}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from phenospark.llm import bpe, chat, mixing, quality, tokencount
+from phenospark.llm import bpe, chat, mixing, quality, substrings, tokencount
 from phenospark.llm.common import prepare, read
 from phenospark.runtime import materialize
 
@@ -33,6 +33,12 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    kept = substrings.remove_repeats(docs)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -61,6 +67,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_windows": op8_chat_windows,
     "op9_byte_bpe": op9_byte_bpe,
 }
