@@ -2,6 +2,27 @@
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] END) AS grams
+  FROM w
+),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, any_value(x.n) AS nx, any_value(y.n) AS ny
+  FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL
+),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 85 * (nx + ny - shared)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
+"""
+
 OP3 = rf"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
 g AS (
@@ -127,4 +148,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM w LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3, "op4_mix_sources": OP4, "op7_substring_dedup": OP7, "op8_chat_windows": OP8}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op3_quality_rules": OP3, "op4_mix_sources": OP4, "op7_substring_dedup": OP7, "op8_chat_windows": OP8}

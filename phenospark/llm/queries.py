@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from phenospark.llm import bpe, chat, mixing, quality, substrings, tokencount
+from phenospark.llm import bpe, chat, jaccard, mixing, quality, substrings, tokencount
 from phenospark.llm.common import prepare, read
 from phenospark.runtime import materialize
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_components(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "source")
     measured = materialize(quality.rule_counts(docs).drop("text"), "measured")
@@ -64,6 +68,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op6_token_counts": op6_token_counts,
