@@ -2,7 +2,7 @@
 
 Texts are cut by the vocabulary's pattern; each pre-token is merged by a rank queue: a hash of
 buckets, one per merge rank, holds the positions in a linked list where that merge applies, and a
-three-level bitmap of the ranks in use gives the next rank by find-first-set. Entries whose pair
+two-level bitmap of the ranks in use gives the next rank by find-first-set. Entries whose pair
 has changed since are skipped when they come up. A pre-token of n bytes costs O(n log n) whatever
 its length. Workers remember the tokens of recent pre-tokens in a bounded table.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 REMEMBERED_BYTES = 64
 
 # classes of the code points below U+0250, for texts that have no others
@@ -35,82 +35,64 @@ NEAR_PATTERN = re.compile(
 )
 
 
-class RankSet:
-    """Ranks as bits in three levels of 64-bit words: add, discard and least in constant time."""
-
-    __slots__ = ("low", "mid", "top")
-
-    def __init__(self):
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def add(self, r: int) -> None:
-        a, b = r >> 6, r >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (r & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def discard(self, r: int) -> None:
-        a, b = r >> 6, r >> 12
-        self.low[a] &= ~(1 << (r & 63))
-        if not self.low[a]:
-            self.mid[b] &= ~(1 << (a & 63))
-            if not self.mid[b]:
-                self.top &= ~(1 << b)
-
-    def least(self) -> int:
-        """The smallest rank held; -1 if there is none."""
-        if not self.top:
-            return -1
-        b = (self.top & -self.top).bit_length() - 1
-        m = self.mid[b]
-        a = b << 6 | (m & -m).bit_length() - 1
-        w = self.low[a]
-        return a << 6 | (w & -w).bit_length() - 1
+WORD_BITS = 10
 
 
 def merge(parts: list, rank_of: Callable) -> list:
     """Apply merges lowest rank first, leftmost first within a rank, until none is left.
 
     ``parts`` are the symbols (concatenated by ``+``); ``rank_of(a, b)`` gives a pair's rank or None.
+    The ranks in use are bits of ``words`` (1024 ranks each), and ``top`` has a bit per word in use.
     """
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank: list = [None] * n
+    rank = [*map(rank_of, parts, parts[1:]), None]
     buckets: dict[int, list[int]] = {}
-    held = RankSet()
-
-    def offer(i: int) -> None:
-        j = after[i]
-        r = rank[i] = rank_of(parts[i], parts[j]) if j < n else None
+    words: dict[int, int] = {}
+    top = 0
+    for i, r in enumerate(rank):
         if r is not None:
-            bucket = buckets.get(r)
-            if bucket is None:
-                buckets[r] = [i]
-                held.add(r)
+            if r in buckets:
+                buckets[r].append(i)
             else:
-                heappush(bucket, i)
-
-    for i in range(n - 1):
-        offer(i)
-    while (r := held.least()) >= 0:
+                buckets[r] = [i]
+                word = r >> WORD_BITS
+                words[word] = words.get(word, 0) | 1 << (r & 1023)
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        least = bits & -bits
+        r = word << WORD_BITS | least.bit_length() - 1
         bucket = buckets[r]
         i = heappop(bucket)
         if not bucket:
             del buckets[r]
-            held.discard(r)
+            words[word] = bits = bits ^ least
+            if not bits:
+                top ^= 1 << word
         if rank[i] != r:
             continue
         j = after[i]
         parts[i] += parts[j]
         parts[j] = rank[j] = None
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+        for i in (i, before[i]):
+            if i < 0:
+                continue
+            k = after[i]
+            r = rank[i] = rank_of(parts[i], parts[k]) if k < n else None
+            if r is None:
+                continue
+            if r in buckets:
+                heappush(buckets[r], i)
+            else:
+                buckets[r] = [i]
+                word = r >> WORD_BITS
+                words[word] = words.get(word, 0) | 1 << (r & 1023)
+                top |= 1 << word
     return [p for p in parts if p is not None]
 
 
@@ -157,8 +139,7 @@ class ByteBpe:
         return NEAR_PATTERN.findall(text) if not BEYOND.search(text) else full_pattern(self.pattern).findall(text)
 
     def encode(self, text: str) -> np.ndarray:
-        known = self.known
-        return np.fromiter(chain.from_iterable(known[p] for p in self.split(text)), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.split(text))), np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))

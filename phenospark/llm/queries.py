@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from phenospark.llm import bpe, chat, jaccard, mixing, quality, substrings, tokencount
+from phenospark.llm import bpe, chat, jaccard, mixing, quality, substrings, tokencount, toxicity
 from phenospark.llm.common import prepare, read
 from phenospark.runtime import materialize
 
@@ -67,6 +67,15 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, folder, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
@@ -75,4 +84,5 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_windows": op8_chat_windows,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_toxicity": op10_toxicity,
 }

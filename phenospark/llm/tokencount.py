@@ -91,8 +91,7 @@ class WordBpe:
 
     def count(self, text: str) -> int:
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
-        known = self.known
-        return len(parts) - 1 + sum(known[p] for part in parts if part for p in self.pieces(part))
+        return len(parts) - 1 + sum(sum(map(self.known.__getitem__, self.pieces(part))) for part in parts if part)
 
 
 _loaded: dict[str, WordBpe] = {}
