@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from phenospark.llm import bpe, chat, jaccard, mixing, quality, substrings, tokencount, toxicity
+from phenospark.llm import ann, bpe, chat, jaccard, mixing, quality, substrings, tokencount, toxicity
 from phenospark.llm.common import prepare, read
 from phenospark.runtime import materialize
 
@@ -29,6 +29,11 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def op5_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     docs = read(spark, folder, "documents").select("doc_id", "text")
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
+    "op5_nearest_vectors": op5_nearest_vectors,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_windows": op8_chat_windows,
