@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from phenospark.llm import ann, bpe, chat, jaccard, mixing, quality, substrings, tokencount, toxicity
+from phenospark.llm import ann, bpe, chat, htmltext, jaccard, mixing, quality, substrings, tokencount, toxicity
 from phenospark.llm.common import prepare, read
 from phenospark.runtime import materialize
 
@@ -15,6 +15,12 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_components(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
+    texts = htmltext.extract(pages, htmltext.fit(pages)).drop("html")
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "source")
     measured = materialize(quality.rule_counts(docs).drop("text"), "measured")
@@ -83,6 +89,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_html_text": op2_html_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_nearest_vectors": op5_nearest_vectors,
