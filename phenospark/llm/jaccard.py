@@ -4,7 +4,8 @@ Documents with one n-gram set are one node. A node files its prefix (the grams o
 which a linked node must share one) and its size; nodes under one gram form a tile, split into
 blocks when very large. In a tile, sorted by size, only nodes whose sizes allow the similarity are
 compared, first by hashed bitmap signatures: the bits one has and the other lacks bound the overlap
-from above. Pairs that pass are checked by intersecting the exact sorted arrays.
+from above. Pairs that pass are bounded again by signatures whose width grows with the size band,
+and those left are checked by intersecting the exact sorted arrays.
 
 A tile of many nodes sends only pairs with a central node in the first round. The links found so
 far give components; a second round over those tiles sends every remaining pair of nodes from
@@ -52,6 +53,19 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(rows, np.arange(len(counts) + 1))
 
 
+def bitmap(values: np.ndarray) -> bytes:
+    """Signature of a set with at least 8 bits per member; the width, a power of two, goes with the size band."""
+    width = max(BITS, 1 << int(8 * len(values) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(values % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def fold(raw: bytes, width: int) -> bytes:
+    """The signature at a smaller width, which is what the set itself would give there."""
+    return raw if 8 * len(raw) == width else np.bitwise_or.reduce(np.frombuffer(raw, np.uint8).reshape(-1, width // 8), axis=0).tobytes()
+
+
 def _sketch(n_gram: int, pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 18, np.uint64)
@@ -67,18 +81,16 @@ def _sketch(n_gram: int, pct: int):
                 keep = np.where(file, size - -(-pct * size // 100) + 1, 0)
                 ends = np.cumsum(np.append(0, keep))
                 pick = np.repeat(at[:-1] - ends[:-1], keep) + np.arange(ends[-1])
-                bits = np.zeros((len(size), BITS), bool)
-                bits[np.repeat(np.arange(len(size)), size), (values % np.uint64(BITS)).astype(np.int64)] = True
-                packed = np.packbits(bits, axis=1)
+                signed = [bitmap(values[a:b]) if k else None for a, b, k in zip(at, at[1:], file)]
                 long = lambda x: pa.array(np.ascontiguousarray(x).astype(np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(words.first, len(size)), batch.column("rid").slice(words.first, len(size)),
                         long(sid), long(check), pa.array(size.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), long(values[pick])),
-                        pa.array([p.tobytes() if k else None for p, k in zip(packed, file)], pa.binary()),
+                        pa.array([x and fold(x, BITS) for x in signed], pa.binary()), pa.array(signed, pa.binary()),
                     ],
-                    ["doc", "rid", "sid", "check", "n", "prefix", "sig"],
+                    ["doc", "rid", "sid", "check", "n", "prefix", "sig", "wide"],
                 )
 
     return run
@@ -200,10 +212,31 @@ def _verify(pct: int):
     return run
 
 
+def _bounded(pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, nx, y, ny in zip(*(batch.column(c).to_pylist() for c in ("x", "nx", "y", "ny"))):
+                width = 8 * min(len(x), len(y))
+                x, y = (np.frombuffer(fold(z, width), np.uint64) for z in (x, y))
+                both, bx, by = (int(np.bitwise_count(z).sum(dtype=np.int64)) for z in (x & y, x, y))
+                keep.append((100 + pct) * min(nx - bx + both, ny - by + both) >= pct * (nx + ny))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _survivors(pairs: DataFrame, wides: DataFrame, pct: int) -> DataFrame:
+    """Pairs that the bit counts of the full-width signatures don't rule out either."""
+    x = wides.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x"))
+    y = wides.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "nx", "y", "ny").mapInArrow(_bounded(pct), "a bigint, b bigint")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     x = sets.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
-    return pairs.where("a != b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(pct), "a bigint, b bigint")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(pct), "a bigint, b bigint")
 
 
 def link_sets(docs: DataFrame, n_gram: int = 4, pct: int = 85, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -215,7 +248,7 @@ def link_sets(docs: DataFrame, n_gram: int = 4, pct: int = 85, text: str = "text
     rid = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     base = docs.select(F.col(key).cast("bigint").alias("doc"), rid.alias("rid"), F.col(text).alias("text"))
     sketch = materialize(
-        base.mapInArrow(_sketch(n_gram, pct), "doc bigint, rid int, sid bigint, check bigint, n int, prefix array<bigint>, sig binary"),
+        base.mapInArrow(_sketch(n_gram, pct), "doc bigint, rid int, sid bigint, check bigint, n int, prefix array<bigint>, sig binary, wide binary"),
         "sketch",
     )
     clash = sketch.groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x != y").limit(1).count()
@@ -227,10 +260,16 @@ def link_sets(docs: DataFrame, n_gram: int = 4, pct: int = 85, text: str = "text
     rows = filed.select(F.explode("prefix").alias("key"), "sid", "n").withColumn("old", F.lag("sid").over(by_key).eqNullSafe(F.col("sid")))
     rows = rows.where("NOT old").drop("old")
     tiles = materialize(rows.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("g > 1"), "tiles")
-    sigs = filed.groupBy("sid").agg(F.first("sig").alias("sig"))
-    pairs = materialize(_in_tiles(tiles, sigs, pct, again=False), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    # equal sets filed by several tasks have equal signatures
+    sigs = filed.select("sid", "sig").dropDuplicates(["sid"])
+    wides = filed.select("sid", "n", "wide").dropDuplicates(["sid"])
+    ends = tiles.where("g = 2").groupBy("key").agg(F.min(F.struct("sid", "n")).alias("x"), F.max(F.struct("sid", "n")).alias("y"))
+    sized = (100 * F.least("x.n", "y.n") >= pct * F.greatest("x.n", "y.n"))
+    twos = ends.where(sized).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    tried = materialize(_in_tiles(tiles.where("g > 2"), sigs, pct, again=False).unionByName(twos).distinct(), "pairs")
+    pairs = materialize(_survivors(tried.where("a != b"), wides, pct), "survivors")
+
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(tried.where("a = b").select("a")).distinct()
     where = sketch.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc", "rid")).alias("at"))
     where = where.select("sid", F.col("at.doc").alias("at_doc"), F.col("at.rid").alias("at_rid"))
     # equal rows would give the text twice
@@ -241,8 +280,8 @@ def link_sets(docs: DataFrame, n_gram: int = 4, pct: int = 85, text: str = "text
     names = components(links)
     large = tiles.where(F.col("g") > STAR_FROM).join(names.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left")
     large = large.withColumn("comp", F.coalesce("comp", "sid"))
-    rest = _in_tiles(large, sigs, pct, again=True).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, sets, pct), "more_links")
+    rest = _in_tiles(large, sigs, pct, again=True).join(tried, ["a", "b"], "left_anti")
+    more = materialize(_linked(_survivors(rest, wides, pct), sets, pct), "more_links")
     return sketch.select("doc", "sid", "n"), links.unionByName(more)
 
 
