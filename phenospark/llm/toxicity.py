@@ -29,7 +29,7 @@ from phenospark.llm.common import prepare
 from phenospark.runtime import materialize
 
 BITS = 18
-SIZES = (3, 4, 5, 6)
+SIZES = (3, 4, 5)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -93,7 +93,7 @@ def log_ratios(train: DataFrame, smooth: float = 1.0) -> np.ndarray:
     return np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 6000, reg: float = 1e-3, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, reg: float = 1e-3, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Learn from the labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     prepare(spark)
@@ -112,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 6000, reg: float = 1e
         return Vectors.sparse(1 << BITS, at, shared.value[at] * damping(at))
 
     sample = train.orderBy(F.xxhash64("key"), "key").limit(max_fit)
-    scaled = materialize(sample.repartition(12).select(F.udf(vector, VectorUDT())("text").alias("features"), F.col("toxic").cast("double").alias("label")), "scaled")
+    # the fit keeps these vectors in memory; lost ones are made again from the written table
+    scaled = sample.repartition(12).select(F.udf(vector, VectorUDT())("text").alias("features"), F.col("toxic").cast("double").alias("label"))
     fitted = LogisticRegression(maxIter=40, regParam=reg, standardization=False, tol=1e-5).fit(scaled)
     return Model(fitted.coefficients.toArray() * ratios, float(fitted.intercept))
 
