@@ -54,8 +54,8 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Signature of a set with at least 8 bits per member; the width, a power of two, goes with the size band."""
-    width = max(BITS, 1 << int(8 * len(values) - 1).bit_length())
+    """Signature of a set with 4 to 8 bits per member; the width, a power of two, goes with the size band."""
+    width = max(BITS, 1 << int(4 * len(values) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(values % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
