@@ -220,7 +220,8 @@ def log_joint(counts: DataFrame, dims: dict[str, int], priors: Priors, r: int =
     """One row (n_records, n_components, log_joint): log-probability of assignments and records
     with weights and profiles integrated out, for the finite form with ``r`` components.
 
-    Cells without records contribute nothing, so only stored counts are visited.
+    Cells without records contribute nothing, so only stored counts are visited. ``r`` must be at
+    least the number of components in use; fewer is an error.
     """
     alpha = priors.alpha
     value = F.lit(0.0)
@@ -234,11 +235,10 @@ def log_joint(counts: DataFrame, dims: dict[str, int], priors: Priors, r: int =
     value = F.when(F.col("axis") == "all", per_component).otherwise(value)
     is_all = F.col("axis") == "all"
     n = F.sum(F.when(is_all, F.col("cnt")))
-    return counts.agg(
-        n.alias("n_records"),
-        F.count(F.when(is_all, F.lit(1))).alias("n_components"),
-        (F.lit(math.lgamma(alpha)) - lgamma(n + F.lit(alpha)) + F.sum(value)).alias("log_joint"),
-    )
+    used = F.count(F.when(is_all, F.lit(1)))
+    value = F.lit(math.lgamma(alpha)) - lgamma(n + F.lit(alpha)) + F.sum(value)
+    fits = F.when(used <= r, value).otherwise(F.raise_error(F.lit(f"more components in use than r = {r}")).cast("double"))
+    return counts.agg(n.alias("n_records"), used.alias("n_components"), fits.alias("log_joint"))
 
 
 def dirichlet_draws(counts: DataFrame, dims: dict[str, int], priors: Priors, axis: str, seed: int, sweep: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 0.01
+HOT_PARTITIONS = 2
 
 
 def fits_broadcast(rows: int, row_bytes: int = 64, limit: int | None = None) -> bool:
@@ -14,18 +15,24 @@ def fits_broadcast(rows: int, row_bytes: int = 64, limit: int | None = None) ->
     return rows * row_bytes <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame | None:
+def hot_share(parts: int) -> float:
+    """The share of all rows from which a key is cut: two mean partitions, 1% at most."""
+    return min(HOT_SHARE, HOT_PARTITIONS / parts)
+
+
+def hot_keys(df: DataFrame, on: list[str], share: float | None = None) -> DataFrame | None:
     """Keys that hold more than ``share`` of all rows, with the number of pieces to cut each into.
 
-    At most 1/share keys can qualify, so the answer is small by construction.
+    At most 1/share keys can qualify, half the number of shuffle partitions by default.
     """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = share or hot_share(parts)
     counts = df.select(*on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     heavy = counts.where(F.col("_n") > F.lit(share) * total).select(*on, "_n", total.alias("_total")).collect()
     if not heavy:
         return None
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = [tuple(r[c] for c in on) + (max(2, int(2 * parts * r["_n"] / r["_total"])),) for r in heavy]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*on).schema.fields)
     return spark.createDataFrame(rows, f"{fields}, _fan int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ class Mixture:
     means: np.ndarray
     covariances: np.ndarray
 
+    @cached_property
+    def axes(self) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Variances and directions of each component, decomposed once per model."""
+        return [(c, None) if c.ndim == 1 else tuple(np.linalg.eigh(c)) for c in self.covariances]
+
     def log_density(self, x: np.ndarray) -> np.ndarray:
         """Log-density of each row of ``x`` under each component.
 
@@ -35,12 +41,8 @@ class Mixture:
         """
         out = np.empty((len(x), len(self.weights)))
         d = self.means.shape[1]
-        for j, (mean, covariance) in enumerate(zip(self.means, self.covariances)):
-            if covariance.ndim == 1:
-                values, delta = covariance, x - mean
-            else:
-                values, vectors = np.linalg.eigh(covariance)
-                delta = (x - mean) @ vectors
+        for j, (mean, (values, vectors)) in enumerate(zip(self.means, self.axes)):
+            delta = x - mean if vectors is None else (x - mean) @ vectors
             used = values > EPSILON * d * values.max()
             if not used.any():
                 raise ValueError("covariance has no non-zero direction")
@@ -48,13 +50,26 @@ class Mixture:
             out[:, j] = -0.5 * (d * np.log(2.0 * np.pi) + np.log(values[used]).sum() + scaled.sum(axis=1))
         return out
 
+    def scaled_memberships(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Memberships, and the log of each row's total weight with the guard epsilon per component.
+
+        Both are taken relative to the row's largest term, so no density overflows or vanishes.
+        """
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.weights) + self.log_density(x)
+        top = np.maximum(logs.max(axis=1, keepdims=True), np.log(EPSILON))
+        p = np.exp(logs - top) + np.exp(np.log(EPSILON) - top)
+        total = p.sum(axis=1, keepdims=True)
+        return p / total, (np.log(total) + top)[:, 0]
+
     def memberships(self, x: np.ndarray) -> np.ndarray:
-        p = EPSILON + self.weights * np.exp(self.log_density(x))
-        return p / p.sum(axis=1, keepdims=True)
+        return self.scaled_memberships(x)[0]
 
 
 def gmm_responsibilities(df: DataFrame, column: str, model: Mixture, out: str = "resp") -> DataFrame:
     """Membership of each vector in every component, as an array."""
+    model.axes  # decomposed here, not in every task
+
     @F.arrow_udf("array<double>")
     def memberships(column: pa.Array) -> pa.Array:
         x = block(column)
@@ -65,6 +80,8 @@ def gmm_responsibilities(df: DataFrame, column: str, model: Mixture, out: str =
 
 def gaussian_logpdf(df: DataFrame, column: str, model: Mixture, out: str = "logpdf") -> DataFrame:
     """Log-density of each vector under every component, as an array."""
+    model.axes  # decomposed here, not in every task
+
     @F.arrow_udf("array<double>")
     def density(column: pa.Array) -> pa.Array:
         x = block(column)
@@ -88,10 +105,8 @@ def gmm_step(df: DataFrame, column: str, model: Mixture) -> DataFrame:
             x = block(batch.column(0))
             if not len(x):
                 continue
-            p = EPSILON + model.weights * np.exp(model.log_density(x))
-            total = p.sum(axis=1, keepdims=True)
-            loglik += float(np.log(total).sum())
-            r = p / total
+            r, logs = model.scaled_memberships(x)
+            loglik += float(logs.sum())
             n += len(x)
             mass += r.sum(axis=0)
             for j in range(k):

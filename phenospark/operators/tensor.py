@@ -53,9 +53,9 @@ def build_tensor(medication: DataFrame, diagnostic: DataFrame, multiplicity: str
 
 
 def tensor_dims(entries: DataFrame) -> DataFrame:
-    """One row with the number of distinct keys of each axis and the number of entries."""
+    """One row with the size of each axis and the number of entries; the indexes are dense from 0."""
     return entries.agg(
-        *[F.count_distinct(a).alias(f"n_{a}") for a in AXES], F.count(F.lit(1)).alias("n_entries")
+        *[F.coalesce(F.max(a) + 1, F.lit(0)).cast("bigint").alias(f"n_{a}") for a in AXES], F.count(F.lit(1)).alias("n_entries")
     )
 
 

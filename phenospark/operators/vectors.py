@@ -11,8 +11,15 @@ def block(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a float matrix, without a Python loop over its rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    if column.null_count or column.flatten().null_count:
+        raise ValueError("vectors must not be null or hold nulls")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    widths = np.diff(column.offsets.to_numpy())
+    if (widths != widths[0]).any():
+        raise ValueError(f"vectors must have one length, found {sorted(set(widths.tolist()))[:5]}")
+    return flat.reshape(len(column), widths[0])
 
 
 def lists(matrix: np.ndarray) -> pa.Array:

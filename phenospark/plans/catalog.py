@@ -303,25 +303,26 @@ def gmm_init(spark, folder):
 
 def gmm_fit_diagonal(spark, folder):
     v = _vectors(spark, folder)
-    model, _ = MX.gmm_fit_diagonal(v, "embedding", _class_mixture(v), max_iter=10)
+    model, _ = MX.gmm_fit_diagonal(v, "embedding", _class_mixture(v))
     r = MX.gmm_responsibilities(v, "embedding", model)
     return r.select("vec_id", argmax_component("resp").alias("cluster"))
 
 
-def _code_vectors(spark, folder):
+def _all_vectors(spark, folder):
+    """Scaled vectors of all three feature sources."""
     ship_package(spark)
-    vectors, _ = FT.feature_vectors(FT.diagnostic_features(proxy.diagnostic(spark, folder)))
-    return materialize(FT.scale_vectors(vectors).select("subject_id", "scaled"), "scaled")
+    vectors, _ = FT.feature_vectors(_feature_tuples(spark, folder))
+    return materialize(FT.scale_vectors(materialize(vectors, "vectors")).select("subject_id", "scaled"), "scaled")
 
 
 def kmeans_fit(spark, folder):
-    v = _code_vectors(spark, folder)
+    v = _all_vectors(spark, folder)
     return KM.kmeans_fit(v, "scaled").transform(v).select("subject_id", "cluster")
 
 
 def gmm_fit(spark, folder):
-    v = _code_vectors(spark, folder)
-    return MX.gmm_fit(v, "scaled", k=3, max_iter=20).transform(v).select("subject_id", "cluster")
+    v = _all_vectors(spark, folder)
+    return MX.gmm_fit(v, "scaled", k=3).transform(v).select("subject_id", "cluster")
 
 
 def clusterings(spark, folder):
@@ -379,8 +380,9 @@ def compacted(spark, folder):
 
 def applied_deltas(spark, folder):
     p = _prepare(spark, folder)
-    moved = p.assigned.drop("k").join(_frozen(p), "rec_id")
-    return C.apply_deltas(p.counts, p.assigned, moved)
+    after = _frozen(p).withColumnRenamed("k", "k_new")
+    changed = materialize(p.assigned.join(after, "rec_id").where("k != k_new"), "changed")
+    return C.apply_deltas(p.counts, changed.drop("k_new"), changed.drop("k").withColumnRenamed("k_new", "k"))
 
 
 def _profile(axis: str) -> Query:
@@ -609,7 +611,6 @@ QUERIES: dict[str, Query] = {
     "draw_category": draw_category,
     "frozen_sweep": frozen_sweep,
     "blocked_sweep": _sweep("blocked"),
-    "sharded_sweep": _sweep("sharded"),
     "compact_components": compacted,
     "apply_deltas": applied_deltas,
     "profiles_med": _profile("med"),

@@ -35,14 +35,15 @@ def _columns_of(spark: SparkSession, path: str, wanted: T.StructType) -> DataFra
     missing = [f.name for f in wanted if f.name not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks columns {missing}")
-    return df.select(*[F.trim(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    keep = lambda f: F.col(f.name) if isinstance(f.dataType, T.StringType) else F.trim(f.name).cast(f.dataType)
+    return df.select(*[keep(f).alias(f.name) for f in wanted])
 
 
 def read_events(spark: SparkSession, medication_path: str, diagnostic_path: str) -> tuple[DataFrame, DataFrame]:
     """Medication and diagnosis files: only the needed columns are parsed, dates become DATE."""
     med = _columns_of(spark, medication_path, S.MEDICATION_CSV)
     diag = _columns_of(spark, diagnostic_path, S.DIAGNOSTIC_CSV)
-    return tuple(df.withColumn("date", F.to_date("date")) for df in (med, diag))
+    return tuple(df.withColumn("date", F.to_date(F.trim(F.col("date").cast("string")))) for df in (med, diag))
 
 
 def load_clinical_events(
@@ -62,12 +63,19 @@ def read_candidate_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower("value").alias("item")).where("item <> ''").distinct()
 
 
+# every key is quoted, and nothing of it is trimmed or taken for null
+EXACT_CSV = {
+    "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "lineSep": "\n",
+}
+
+
 def write_dictionary(table: DataFrame, path: str) -> None:
     """A dictionary as CSV without header: key, index."""
-    table.select("key", "idx").write.csv(path)
+    table.select("key", "idx").write.csv(path, **EXACT_CSV, quoteAll=True)
 
 
 def read_dictionary(spark: SparkSession, path: str, key_type: str = "string") -> DataFrame:
-    """(key, idx) of a dictionary file; names with commas are read as quoted CSV fields."""
-    df = spark.read.csv(path, schema=S.DICTIONARY, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """(key, idx) of a dictionary file; any text is a key: empty, with blanks, commas, quotes or line ends."""
+    df = spark.read.csv(path, schema=S.DICTIONARY, multiLine=True, **EXACT_CSV)
     return df.withColumn("key", F.col("key").cast(key_type))

@@ -3,7 +3,7 @@ import pytest
 from phenospark.operators import axis as A
 
 # in codepoint order
-NAMES = ["Alcohol 10%", "Epinephrine", "Epinephrine Drip", "Epinephrine-k", "Fentanyl", "Fentanyl (Conc)", "Zosyn", "aspirin"]
+NAMES = ["Quarl 5%", "Sorvine", "Sorvine Mist", "Sorvine-q", "Tepnil", "Tepnil (Half)", "Zub", "brellin"]
 
 
 @pytest.mark.parametrize("rows_per_task", [None, 2])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from phenospark.functions.rand import np_uniform
 from phenospark.operators import counts as C
 from phenospark.operators import gibbs as G
+from sharded import sharded_sweep
 
 DIMS = {"patient": 30, "diag": 8, "med": 9}
 
@@ -94,7 +95,7 @@ def test_large_axis_path_gives_the_same_weights(spark, records, monkeypatch):
 @pytest.mark.parametrize("mode", G.MODES)
 def test_a_sweep_keeps_every_record(spark, records, mode):
     _, rows, df = records
-    after = G.gibbs_sweep(df, DIMS, C.Priors.from_dims(DIMS), mode, shards=3)
+    after = G.gibbs_sweep(df, DIMS, C.Priors.from_dims(DIMS), mode)
     assert sorted(r["rec_id"] for r in after.collect()) == list(range(len(rows)))
     with pytest.raises(ValueError):
         G.gibbs_sweep(df, DIMS, C.Priors.from_dims(DIMS), "other")
@@ -126,7 +127,7 @@ def test_one_shard_is_the_sequential_rule(spark):
     _, rows = planted(60, seed=5)
     priors = C.Priors(20.0, {a: 2.0 / n for a, n in DIMS.items()})
     df = frame(spark, rows)
-    got = {r["rec_id"]: r["k"] for r in G.sharded_sweep(df, C.component_counts(df), DIMS, priors, seed=1, sweep=2, shards=1).collect()}
+    got = {r["rec_id"]: r["k"] for r in sharded_sweep(df, C.component_counts(df), DIMS, priors, seed=1, sweep=2, shards=1).collect()}
     want = sequential(rows, DIMS, priors, np_uniform(np.arange(60), 1, 2))
     # ids of new components may differ, the grouping may not
     assert len({(got[i], k) for i, k in enumerate(want)}) == len(set(want)) == len(set(got.values()))
