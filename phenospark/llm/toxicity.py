@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, reg: float = 1e
 
     sample = train.orderBy(F.xxhash64("key"), "key").limit(max_fit)
     # the fit keeps these vectors in memory; lost ones are made again from the written table
-    scaled = sample.repartition(12).select(F.udf(vector, VectorUDT())("text").alias("features"), F.col("toxic").cast("double").alias("label"))
+    scaled = sample.repartition(4).select(F.udf(vector, VectorUDT())("text").alias("features"), F.col("toxic").cast("double").alias("label"))
     fitted = LogisticRegression(maxIter=40, regParam=reg, standardization=False, tol=1e-5).fit(scaled)
     return Model(fitted.coefficients.toArray() * ratios, float(fitted.intercept))
 
