@@ -125,7 +125,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).where(good & F.col(key).isNotNull())
 
 
-def fit_router(rows: DataFrame, n_rows: int, max_sample: int = 8192, per_part: int = 1024, max_parts: int = 64, k: int = 20, target: float = 0.97, seed: int = 7) -> Router | None:
+def fit_router(rows: DataFrame, n_rows: int, max_sample: int = 8192, per_part: int = 1024, max_parts: int = 16, k: int = 20, target: float = 0.97, seed: int = 7) -> Router | None:
     """Fit on at most ``max_sample`` rows, the ones of least hash; None for an empty table."""
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).toPandas()
     if picked.empty:
