@@ -34,6 +34,7 @@ BITS = 2048
 STAR_FROM = 16
 BLOCK = 8192
 COMPARED_ROWS = 256
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +243,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 def link_sets(docs: DataFrame, n_gram: int = 4, pct: int = 85, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The sketch (doc, sid, n) of every document and exact links (a, b) between sids that suffice for the components.
 
-    Two sets link when their overlap is at least ``pct`` percent of their union.
+    Two sets link when their overlap is at least ``pct`` percent of their union. Every step is
+    written, so each step's shuffle files are given up at its end.
     """
+    conf = docs.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return _link_sets(docs, n_gram, pct, text, key)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     prepare(docs.sparkSession, COMPARED_ROWS)
     rid = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     base = docs.select(F.col(key).cast("bigint").alias("doc"), rid.alias("rid"), F.col(text).alias("text"))
