@@ -3,8 +3,8 @@
 Documents with one n-gram set are one node. A node files its prefix (the grams of least hash of
 which a linked node must share one) and its size; nodes under one gram form a tile, split into
 blocks when very large. In a tile, sorted by size, only nodes whose sizes allow the similarity are
-compared, first by hashed bitmap signatures: the bits one has and the other lacks bound the overlap
-from above. Pairs that pass are bounded again by signatures whose width grows with the size band,
+compared, first by what is left of their sorted grams from the tile's gram on, then by hashed bitmap
+signatures: the bits one has and the other lacks bound the overlap from above. Pairs that pass are bounded again by signatures whose width grows with the size band,
 and those left are checked by intersecting the exact sorted arrays.
 
 A tile of many nodes sends only pairs with a central node in the first round. The links found so
@@ -110,18 +110,24 @@ def _exact_sets(n_gram: int):
     return run
 
 
-def may_link(n: np.ndarray, bits: np.ndarray, sig: np.ndarray, i: int, js: np.ndarray, pct: int) -> np.ndarray:
-    """Of the nodes ``js``, those whose overlap with node i the bit counts don't rule out."""
+def may_link(n: np.ndarray, left: np.ndarray, bits: np.ndarray, sig: np.ndarray, i: int, js: np.ndarray, pct: int) -> np.ndarray:
+    """Of the nodes ``js``, those whose overlap with node i neither ``left`` nor the bit counts rule out.
+
+    ``left`` is how many grams a node has from the tile's gram on. In the tile of two nodes' first
+    common gram all they share is among those, so linked nodes pass there, if nowhere else.
+    """
+    js = js[(100 + pct) * np.minimum(left[i], left[js]) >= pct * (n[i] + n[js])]
     common = np.bitwise_count(sig[js] & sig[i]).sum(axis=1, dtype=np.int64)
     overlap = np.minimum(n[i] - (bits[i] - common), n[js] - (bits[js] - common))
     return js[(100 + pct) * overlap >= pct * (n[i] + n[js])]
 
 
-def tile_pairs(sid, n, sig, comp, block, pct: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(sid, n, pos, sig, comp, block, pct: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile to check exactly. ``comp`` None: the first round, where (a, a) marks a node that later pairs may need."""
     order = np.argsort(n, kind="stable")
     sid, n, sig, block = sid[order], n[order], sig[order], block[order]
     comp = sid if comp is None else comp[order]
+    rest = n - pos[order]
     bits = np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
     upto = np.searchsorted(n, n * 100 // pct, "right")
     left, right = [], []
@@ -132,7 +138,7 @@ def tile_pairs(sid, n, sig, comp, block, pct: int, star: bool) -> tuple[np.ndarr
             shown = np.unpackbits(sig[at].view(np.uint8), axis=1)
             centre = at[int(np.argmax(shown @ (2.0 * shown.mean(axis=0) - 1)))]
             near = at[(100 * n[at] >= pct * n[centre]) & (pct * n[at] <= 100 * n[centre])]
-            hits = may_link(n, bits, sig, centre, near[near != centre], pct)
+            hits = may_link(n, rest, bits, sig, centre, near[near != centre], pct)
             left.append(np.full(len(hits), centre))
             right.append(hits)
             open_[near] = False
@@ -142,7 +148,7 @@ def tile_pairs(sid, n, sig, comp, block, pct: int, star: bool) -> tuple[np.ndarr
         js = js[comp[js] != comp[i]]
         if two_blocks:
             js = js[block[js] != block[i]]
-        hits = may_link(n, bits, sig, i, js, pct) if len(js) else js
+        hits = may_link(n, rest, bits, sig, i, js, pct) if len(js) else js
         if star:
             hits = np.append(hits, i) if len(hits) else hits
             left.append(hits)
@@ -164,7 +170,7 @@ def _tiles(pct: int, again: bool):
         col = lambda c: t.column(c).to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         star = not again and t.num_rows > STAR_FROM
-        a, b = tile_pairs(col("sid"), col("n").astype(np.int64), sig, col("comp") if again else None, col("block"), pct, star)
+        a, b = tile_pairs(col("sid"), col("n").astype(np.int64), col("pos"), sig, col("comp") if again else None, col("block"), pct, star)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +275,7 @@ def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> t
 
     filed = sketch.where("size(prefix) > 0")
     by_key = Window.partitionBy("key").orderBy("sid")
-    rows = filed.select(F.explode("prefix").alias("key"), "sid", "n").withColumn("old", F.lag("sid").over(by_key).eqNullSafe(F.col("sid")))
+    rows = filed.select(F.posexplode("prefix").alias("pos", "key"), "sid", "n").withColumn("old", F.lag("sid").over(by_key).eqNullSafe(F.col("sid")))
     rows = rows.where("NOT old").drop("old")
     tiles = materialize(rows.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("g > 1"), "tiles")
     # equal sets filed by several tasks have equal signatures
@@ -283,17 +289,19 @@ def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> t
 
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(tried.where("a = b").select("a")).distinct()
     where = sketch.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc", "rid")).alias("at"))
-    where = where.select("sid", F.col("at.doc").alias("at_doc"), F.col("at.rid").alias("at_rid"))
+    where = materialize(where.select("sid", F.col("at.doc").alias("at_doc"), F.col("at.rid").alias("at_rid")), "where")
     # equal rows would give the text twice
     found = base.join(where, base["doc"].eqNullSafe(where["at_doc"]) & (base["rid"] == where["at_rid"])).select("sid", "text")
-    sets = materialize(found.mapInArrow(_exact_sets(n_gram), "sid bigint, grams binary").dropDuplicates(["sid"]), "sets")
+    found = found.dropDuplicates(["sid"])
+    sets = materialize(found.mapInArrow(_exact_sets(n_gram), "sid bigint, grams binary"), "sets")
     links = materialize(_linked(pairs, sets, pct), "links")
 
     names = components(links)
     large = tiles.where(F.col("g") > STAR_FROM).join(names.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left")
     large = large.withColumn("comp", F.coalesce("comp", "sid"))
-    rest = _in_tiles(large, sigs, pct, again=True).join(tried, ["a", "b"], "left_anti")
-    more = materialize(_linked(_survivors(rest, wides, pct), sets, pct), "more_links")
+    rest = materialize(_in_tiles(large, sigs, pct, again=True).join(tried, ["a", "b"], "left_anti"), "more_pairs")
+    left = materialize(_survivors(rest, wides, pct), "more_survivors")
+    more = materialize(_linked(left, sets, pct), "more_links")
     return sketch.select("doc", "sid", "n"), links.unionByName(more)
 
 
