@@ -148,4 +148,84 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM w LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op3_quality_rules": OP3, "op4_mix_sources": OP4, "op7_substring_dedup": OP7, "op8_chat_windows": OP8}
+#: Costs are nine digits before the audit, so the least string is the cheapest, then the least audit.
+#: Rows are never inserted: leaving out an inserted row and the other half of its pair costs less.
+OP12 = r"""
+WITH RECURSIVE poly AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+),
+hashed AS (
+  SELECT named.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+  FROM named, poly
+),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+),
+judged AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+  FROM placed
+),
+costed AS (
+  SELECT *, fault IS NULL OR fault = 'truncated' AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged
+),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS a0, NULL::VARCHAR AS a1, NULL::VARCHAR AS a2, NULL::VARCHAR AS a3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT s.conv_id, r.i,
+    lpad((left(a0, 9)::INT + 2)::VARCHAR, 9, '0') || substr(a0, 10) || 'D',
+    least(lpad((left(a1, 9)::INT + 2)::VARCHAR, 9, '0') || substr(a1, 10) || 'D',
+      CASE WHEN stays AND initial = 's' THEN lpad((left(a0, 9)::INT + extra)::VARCHAR, 9, '0') || substr(a0, 10) || 'K' END),
+    least(lpad((left(a2, 9)::INT + 2)::VARCHAR, 9, '0') || substr(a2, 10) || 'D',
+      CASE WHEN stays AND initial = 'u' THEN lpad((left(least(a0, a1, a3), 9)::INT + extra)::VARCHAR, 9, '0') || substr(least(a0, a1, a3), 10) || 'K' END,
+      CASE WHEN stays THEN lpad((left(least(a0, a1, a3), 9)::INT + extra + 1)::VARCHAR, 9, '0') || substr(least(a0, a1, a3), 10) || 'R' END),
+    least(lpad((left(a3, 9)::INT + 2)::VARCHAR, 9, '0') || substr(a3, 10) || 'D',
+      CASE WHEN stays AND initial = 'a' THEN lpad((left(a2, 9)::INT + extra)::VARCHAR, 9, '0') || substr(a2, 10) || 'K' END,
+      CASE WHEN stays THEN lpad((left(a2, 9)::INT + extra + 1)::VARCHAR, 9, '0') || substr(a2, 10) || 'R' END)
+  FROM steps s JOIN costed r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = s.i + 1
+),
+ends AS (
+  SELECT conv_id, arg_max(least(a0, a3), i) AS best FROM steps GROUP BY conv_id
+),
+kept AS (
+  SELECT c.conv_id, c.i, c.role, c.text, substr(best, 9 + c.i::INT, 1) AS edit,
+    row_number() OVER (PARTITION BY c.conv_id ORDER BY c.i) AS j,
+    first_value(substr(best, 9 + c.i::INT, 1) = 'K' AND initial = 's') OVER (PARTITION BY c.conv_id ORDER BY c.i) AS headed
+  FROM costed c JOIN ends e ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE substr(best, 9 + c.i::INT, 1) <> 'D'
+),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - headed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS whole
+  FROM kept GROUP BY conv_id
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, left(best, 9)::BIGINT AS cost, substr(best, 10) AS audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON e.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
+ORACLE_SQL = {
+    "op1_ngram_jaccard": OP1, "op3_quality_rules": OP3, "op4_mix_sources": OP4, "op7_substring_dedup": OP7, "op8_chat_windows": OP8,
+    "op12_conversation_repair": OP12,
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from phenospark.llm import ann, bpe, chat, htmltext, jaccard, mixing, quality, substrings, tokencount, toxicity
+from phenospark.llm import ann, bpe, chat, htmltext, jaccard, langid, mixing, quality, repair, substrings, tokencount, toxicity, whitening
 from phenospark.llm.common import prepare, read
 from phenospark.runtime import materialize
 
@@ -87,6 +87,24 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = toxicity.held_out(F.col("doc_id"))
+    languages = langid.fit(docs.where(~held).select("text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), languages)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(turns)).conversations.drop("n")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    whitened = whitening.whiten(read(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_html_text": op2_html_text,
@@ -98,4 +116,7 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_language_id": op11_language_id,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_whitening": op13_whitening,
 }
