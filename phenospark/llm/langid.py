@@ -6,9 +6,9 @@ the language of the fewest bytes wins. Texts are compared as lower-case letters
 between words, whole, however long. The margin is how many bytes the second language needs more;
 ``rejected`` marks texts whose margin is too narrow to be trusted.
 
-The dictionaries are a bounded sample: of the texts of a language, ``sample_texts`` different ones
+The dictionaries are a bounded sample: of the different texts of a language about ``sample_texts``
 of least hash, and of their pieces the ones of least hash, up to ``dictionary_bytes`` (and 64 MB for
-all languages together). Only hashes are ranked and shuffled, then the chosen texts are read.
+all languages together). Only hashes are counted and shuffled, then the chosen texts are read.
 
 Defined results: a null or empty text, one without a letter, and any text when nothing was learned
 give ``und`` with score 0. Equal sizes go to the language with more training texts, then to the
@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from phenospark.llm.common import prepare, unused
 from phenospark.operators.joins import lookup
+from phenospark.runtime import materialize
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 1000
@@ -60,6 +61,17 @@ class Languages:
     content: dict[str, bytes]
 
 
+def least_hashes(df: DataFrame, sizes: DataFrame, h: str, wanted: int) -> tuple[DataFrame, dict]:
+    """About ``wanted`` rows of each language, all if there are fewer: those whose hash lies in the
+    lowest wanted/n of its range. Needs no order, so no task sees a language whole. Also the
+    rows of ``sizes`` by language."""
+    rows = {r["lang"]: r for r in sizes.collect()}
+    spark = df.sparkSession
+    rates = spark.createDataFrame([(k, min(1.0, wanted / r["n"])) for k, r in rows.items()], "lang string, rate double")
+    place = F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+    return lookup(df, rates, ["lang"], rows=len(rows)).where(place < F.col("rate")).drop("rate"), rows
+
+
 def fit(
     labelled: DataFrame, text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS,
     dictionary_bytes: int = DICTIONARY_BYTES,
@@ -69,23 +81,22 @@ def fit(
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = rows.withColumn("h", F.xxhash64("text"))
     keys = hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    chosen = keys.select("lang", "h").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= sample_texts).drop("r")
-    size = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.sum("copies").alias("n")).collect()}
-    # at most sample_texts keys per language, so the bound is known before the join
-    texts = lookup(hashed, chosen, ["lang", "h"], rows=len(size) * sample_texts).dropDuplicates(["lang", "h"])
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    chosen, size = least_hashes(hashed, sizes, "h", sample_texts)
+    texts = chosen.dropDuplicates(["lang", "h"])
     clean = texts.select("lang", letters(F.col("text")).alias("t")).where("t != ''")
     starts = F.sequence(F.lit(1), F.length("t"), F.lit(PIECE))
     pieces = clean.select("lang", F.explode(F.transform(starts, lambda i: F.substring("t", i, F.lit(PIECE)))).alias("piece")).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
-    n_pieces = max(1, math.ceil(dictionary_bytes / PIECE))
-    best = pieces.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n_pieces)
+    pieces = materialize(pieces.withColumn("h", F.xxhash64("piece")), "pieces")
+    n_pieces = math.ceil(dictionary_bytes / PIECE)
+    # a fifth more than fit, as their number varies a little around what is asked for
+    best, _ = least_hashes(pieces, pieces.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "h", math.ceil(1.2 * n_pieces) + 8)
     found: dict[str, list] = {}
-    for r in best.collect():
-        found.setdefault(r["lang"], []).append((r["r"], r["piece"]))
+    for r in best.select("lang", "h", "piece").collect():
+        found.setdefault(r["lang"], []).append((r["h"] % (1 << 64), r["piece"]))
     room = min(dictionary_bytes, ALL_DICTIONARIES // max(1, len(found)))
     content = {}
-    for name in sorted(found, key=lambda x: (-size[x], x)):
+    for name in sorted(found, key=lambda x: (-size[x]["copies"], x)):
         content[name] = " ".join(p for _, p in sorted(found[name])).encode()[:room]
     return Languages(content)
 
