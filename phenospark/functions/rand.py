@@ -1,7 +1,8 @@
 """Uniforms that depend only on (seed, step, record): a retried task draws the same numbers.
 
-The same 32-bit integer mixer is given twice: as column arithmetic that any SQL engine can repeat
-(BIGINT, no overflow), and for numpy blocks inside Arrow functions.
+The same 32-bit integer mixer is given three times: as column arithmetic (BIGINT, no overflow), as
+SQL text that another engine can run, and for numpy blocks inside Arrow functions. Two of its hashes
+make a uniform with a full double's precision.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, functions as F
 MIX_A = 0x21F0AAAD
 MIX_B = 0x735A2D97
 MASK32 = 0xFFFFFFFF
+# Fixed value: last stream number of the second hash of a uniform.
+SECOND_HALF = 0x6C6F77
 
 
 def _mix(x: Column) -> Column:
@@ -39,18 +42,33 @@ def stream_key(*parts: int) -> int:
     return key
 
 
-def uniform(record: Column | str, *stream: int) -> Column:
-    """Uniform in (0, 1) of a BIGINT record number under the given stream numbers."""
-    r = (F.col(record) if isinstance(record, str) else record).cast("bigint")
-    key = stream_key(*stream)
+def _hash(r: Column, key: int) -> Column:
     low = r.bitwiseAND(F.lit(MASK32)).bitwiseXOR(F.lit(key))
     high = F.shiftright(r, 32).bitwiseAND(F.lit(MASK32))
-    h = _mix(_mix(low).bitwiseXOR(high))
-    return (h.cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    return _mix(_mix(low).bitwiseXOR(high))
+
+
+def halves(*stream: int) -> tuple[int, int]:
+    """The keys of the two hashes whose upper 26 bits make up one uniform."""
+    return stream_key(*stream), stream_key(*stream, SECOND_HALF)
+
+
+def uniform(record: Column | str, *stream: int) -> Column:
+    """Uniform in (0, 1) of a BIGINT record number under the given stream numbers: an odd multiple
+    of 2^-53, from 26 bits each of two hashes."""
+    r = (F.col(record) if isinstance(record, str) else record).cast("bigint")
+    first, second = (F.shiftright(_hash(r, key), 6).cast("double") for key in halves(*stream))
+    return (first * F.lit(67108864.0) + second + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
 def uniform_sql(record: str, *stream: int) -> str:
     """The expression of :func:`uniform` as ANSI-style SQL text (for checks in another engine)."""
+    first, second = halves(*stream)
+    return uniform_sql_of(record, f"{first}::BIGINT", f"{second}::BIGINT")
+
+
+def uniform_sql_of(record: str, first: str, second: str) -> str:
+    """As :func:`uniform_sql`, with the keys of the two halves as SQL expressions."""
     def mix(x: str) -> str:
         a = f"xor({x}, ({x}) >> 16)"
         b = f"((({a}) * {MIX_A}) & {MASK32})"
@@ -58,38 +76,30 @@ def uniform_sql(record: str, *stream: int) -> str:
         d = f"((({c}) * {MIX_B}) & {MASK32})"
         return f"xor({d}, ({d}) >> 15)"
 
-    low = f"xor(({record})::BIGINT & {MASK32}, {stream_key(*stream)}::BIGINT)"
-    high = f"((({record})::BIGINT >> 32) & {MASK32})"
-    return f"((({mix(f'xor({mix(low)}, {high})')})::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
+    def half(key: str) -> str:
+        low = f"xor(({record})::BIGINT & {MASK32}, {key})"
+        high = f"((({record})::BIGINT >> 32) & {MASK32})"
+        return f"(({mix(f'xor({mix(low)}, {high})')}) >> 6)::DOUBLE"
 
+    return f"(({half(first)} * 67108864.0::DOUBLE + {half(second)} + 0.5) / 4503599627370496.0::DOUBLE)"
 
-def np_uniform32(record: np.ndarray, *stream: int) -> np.ndarray:
-    """The same numbers as :func:`uniform`, for a numpy block."""
-    mask, a, b = np.uint64(MASK32), np.uint64(MIX_A), np.uint64(MIX_B)
+
+def np_uniform(record: np.ndarray, *stream: int) -> np.ndarray:
+    """The same numbers as :func:`uniform`, for a numpy block of whole numbers."""
+    a, b = np.uint32(MIX_A), np.uint32(MIX_B)
 
     def mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(16))) * a & mask
-        x = (x ^ (x >> np.uint64(15))) * b & mask
-        return x ^ (x >> np.uint64(15))
+        x ^= x >> np.uint32(16)
+        x *= a
+        x ^= x >> np.uint32(15)
+        x *= b
+        x ^= x >> np.uint32(15)
+        return x
 
     r = np.asarray(record).astype(np.uint64)
-    h = mix(mix(r & mask ^ np.uint64(stream_key(*stream))) ^ (r >> np.uint64(32)))
-    return (h.astype(np.float64) + 0.5) / 4294967296.0
-
-
-def np_bits(counter: np.ndarray, key: int) -> np.ndarray:
-    """64 hashed bits per counter (finaliser of the public splitmix64 generator)."""
-    with np.errstate(over="ignore"):
-        x = counter.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key) * np.uint64(0xD1342543DE82EF95)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def np_uniform(counter: np.ndarray, *stream: int) -> np.ndarray:
-    """Uniforms in (0, 1) with 53 bits for whole-number counters."""
-    bits = np_bits(np.asarray(counter), stream_key(*stream)) >> np.uint64(11)
-    return (bits.astype(np.float64) + 0.5) / 9007199254740992.0
+    low, high = (r & np.uint64(MASK32)).astype(np.uint32), (r >> np.uint64(32)).astype(np.uint32)
+    first, second = (mix(mix(low ^ np.uint32(key)) ^ high) >> np.uint32(6) for key in halves(*stream))
+    return (first * 67108864.0 + second + 0.5) / 4503599627370496.0
 
 
 def np_log_gamma_draws(shape: np.ndarray, counter: np.ndarray, *stream: int) -> np.ndarray:

@@ -95,10 +95,10 @@ class Clustered:
         # fills the cache: its layout counts for later plans only once it is there
         self.rows.count()
 
-    def attach(self, right: DataFrame) -> DataFrame:
-        """Inner join with a table of one row per key."""
+    def attach(self, right: DataFrame, how: str = "inner") -> DataFrame:
+        """Join with a table of one row per key."""
         copies = right if self.hot is None else repeat(right, [self.key], self.hot)
-        return self.rows.join(copies, self.on).drop("_piece")
+        return self.rows.join(copies, self.on, how).drop("_piece")
 
     def release(self) -> None:
         self.rows.unpersist()

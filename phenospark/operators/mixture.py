@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.sql import DataFrame, functions as F
 
-from phenospark.functions.rand import np_uniform32
+from phenospark.functions.rand import np_uniform
 from phenospark.operators.axis import dense_index
 from phenospark.operators.vectors import block, collect_matrix, dimension_stats, lists
+from phenospark.runtime import materialize
 
 # Machine epsilon as the membership guard, and vectors drawn per component at start.
 EPSILON = 2.220446049250313e-16
@@ -137,6 +138,115 @@ def gmm_step(df: DataFrame, column: str, model: Mixture) -> DataFrame:
     )
 
 
+def _moments(df: DataFrame, columns: list[str], means: np.ndarray, memberships) -> DataFrame:
+    """Weighted second moments about given centres: (k, dim, other, n, ll, mass, s1, t1, s2).
+
+    ``memberships`` maps a batch and its vectors to the weight of each vector in every component
+    and to what each adds to the log-likelihood. Tasks add up one matrix per component; Spark adds
+    the cells of their upper halves by cell, so no task or driver gathers the matrices of all.
+    """
+    k, d = means.shape
+    upper = np.triu_indices(d)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass, first, second = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+        n, loglik = 0, 0.0
+        for batch in batches:
+            x = block(batch.column(0))
+            if not len(x):
+                continue
+            r, logs = memberships(batch, x)
+            loglik += float(logs.sum())
+            n += len(x)
+            mass += r.sum(axis=0)
+            for j in range(k):
+                delta = x - means[j]
+                weighted = r[:, j, None] * delta
+                first[j] += weighted.sum(axis=0)
+                second[j] += weighted.T @ delta
+        if n:
+            cells = len(upper[0])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.arange(k, dtype=np.int32), cells)),
+                pa.array(np.tile(upper[0].astype(np.int32), k)),
+                pa.array(np.tile(upper[1].astype(np.int32), k)),
+                pa.array(np.full(k * cells, float(n))),
+                pa.array(np.full(k * cells, loglik)),
+                pa.array(np.repeat(mass, cells)),
+                pa.array(first[:, upper[0]].ravel()),
+                pa.array(first[:, upper[1]].ravel()),
+                pa.array(second[:, upper[0], upper[1]].ravel()),
+            ], names=["k", "dim", "other", *sums])
+
+    sums = ["n", "ll", "mass", "s1", "t1", "s2"]
+    schema = "k int, dim int, other int, " + ", ".join(f"{c} double" for c in sums)
+    parts = df.select(*columns).mapInArrow(partial, schema)
+    return parts.groupBy("k", "dim", "other").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _from_moments(sums: DataFrame, means: np.ndarray) -> DataFrame:
+    """(k, dim, other, weight, mean, cov, log_likelihood) for dim <= other; ``mean`` is that of dim."""
+    old = F.element_at(F.lit(means.ravel().tolist()), F.col("k") * means.shape[1] + F.col("dim") + 1)
+    shift, across = F.col("s1") / F.col("mass"), F.col("t1") / F.col("mass")
+    return sums.select(
+        "k", "dim", "other",
+        (F.col("mass") / F.col("n")).alias("weight"),
+        (old + shift).alias("mean"),
+        (F.col("s2") / F.col("mass") - shift * across).alias("cov"),
+        F.col("ll").alias("log_likelihood"),
+    )
+
+
+def gmm_step_full(df: DataFrame, column: str, model: Mixture) -> DataFrame:
+    """One EM step with full covariance: (k, dim, other, weight, mean, cov, log_likelihood).
+
+    ``cov`` belongs to dim <= other. Moments are taken about the old means, which keeps covariances
+    from cancelling. Singular covariances are allowed (see :meth:`Mixture.log_density`).
+    """
+    model.axes  # decomposed here, not in every task
+    sums = _moments(df, [column], model.means, lambda batch, x: model.scaled_memberships(x))
+    return _from_moments(sums, model.means)
+
+
+def group_mixture(df: DataFrame, column: str, group: str, k: int) -> Mixture:
+    """Weight, mean and full covariance of each of k groups of vectors, numbered 0..k-1 by an integer
+    column; a pass for the means and one for the moments about them."""
+    means = collect_matrix(dimension_stats(df, column, [group]), group, "mean")
+    if len(means) != k:
+        raise ValueError(f"{len(means)} groups hold vectors, not {k}")
+
+    def hard(batch: pa.RecordBatch, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (batch.column(1).to_numpy()[:, None] == np.arange(k)).astype(np.float64), np.zeros(len(x))
+
+    return full_mixture(_from_moments(_moments(df, [column, group], means, hard), means))
+
+
+def full_mixture(step: DataFrame) -> Mixture:
+    """The parameters of a full-covariance step's small result."""
+    rows = step.collect()
+    k, d = (1 + max(r[c] for r in rows) for c in ("k", "dim"))
+    weights, means, cov = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+    for r in rows:
+        weights[r["k"]], means[r["k"], r["dim"]] = r["weight"], r["mean"]
+        cov[r["k"], r["dim"], r["other"]] = cov[r["k"], r["other"], r["dim"]] = r["cov"]
+    return Mixture(weights, means, cov)
+
+
+def gmm_fit_full(
+    df: DataFrame, column: str, start: Mixture, tol: float = 0.01, max_iter: int = 100
+) -> tuple[Mixture, list[float]]:
+    """Full-covariance EM steps until the log-likelihood gains less than ``tol``; also the value at
+    each step. Covariances may become singular: their pseudo-inverse is used from then on."""
+    model, history = start, []
+    for _ in range(max_iter):
+        step = materialize(gmm_step_full(df, column, model), "step")
+        history.append(step.agg(F.first("log_likelihood")).first()[0])
+        if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
+            break
+        model = full_mixture(step)
+    return model, history
+
+
 def mixture_from_step(step: DataFrame) -> Mixture:
     """The parameters of a step's small result."""
     weights = collect_matrix(step, "k", "weight")[:, 0]
@@ -150,7 +260,7 @@ def seed_components(df: DataFrame, order: str, column: str, k: int, seed: int, s
     vectors. ``order`` is a column that is unique per row.
     """
     numbered, n = dense_index(df.select(order), [order], "_row")
-    draws = [(i // samples, i % samples, int(u * n)) for i, u in enumerate(np_uniform32(np.arange(k * samples), seed))]
+    draws = [(i // samples, i % samples, int(u * n)) for i, u in enumerate(np_uniform(np.arange(k * samples), seed))]
     wanted = df.sparkSession.createDataFrame(draws, "component int, draw int, _row bigint")
     keys = numbered.join(F.broadcast(wanted), "_row")
     return df.select(order, column).join(F.broadcast(keys), order).select("component", "draw", column)

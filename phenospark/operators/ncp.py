@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phenospark.functions.rand import np_uniform32
+from phenospark.functions.rand import np_uniform
 from phenospark.functions.scalars import binarize, rescale
 from phenospark.operators.joins import Clustered, fits_broadcast, lookup
 from phenospark.operators.vectors import block, lists
@@ -54,7 +54,7 @@ def initial_factors(spark, dims: dict[str, int], rank: int = RANK, seed: int = 1
         @F.arrow_udf("array<double>")
         def cells(idx: pa.Array) -> pa.Array:
             cell = idx.to_numpy()[:, None] * rank + np.arange(rank)
-            return lists(np_uniform32(cell, seed, number))
+            return lists(np_uniform(cell, seed, number))
 
         return cells("idx")
 

@@ -308,6 +308,40 @@ def gmm_fit_diagonal(spark, folder):
     return r.select("vec_id", argmax_component("resp").alias("cluster"))
 
 
+def _line_vectors(spark, folder, singular: bool = False) -> DataFrame:
+    """Three scaled measures of every order line, grouped by return flag; the singular form adds
+    the sum of the first and the third as a fourth."""
+    ship_package(spark)
+    lines = proxy.table(spark, folder, "lineitem")
+    x = [F.col("l_quantity") / 10, F.col("l_extendedprice") / 10000, F.col("l_discount") * 10]
+    group = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return lines.select("l_orderkey", "l_linenumber", group.alias("g"), F.array(*x, *([x[0] + x[2]] if singular else [])).alias("x"))
+
+
+def _logpdf_full(singular: bool) -> Query:
+    def run(spark, folder):
+        v = _line_vectors(spark, folder, singular)
+        r = MX.gaussian_logpdf(v, "x", MX.group_mixture(v, "x", "g", 3))
+        return _round(r.select("l_orderkey", "l_linenumber", F.posexplode("logpdf").alias("k", "logpdf")), 6, "logpdf")
+    return run
+
+
+def _step_full(singular: bool) -> Query:
+    def run(spark, folder):
+        v = _line_vectors(spark, folder, singular)
+        step = MX.gmm_step_full(v, "x", MX.group_mixture(v, "x", "g", 3))
+        return _round(step.withColumn("log_likelihood", F.round("log_likelihood", 3)), 6, "weight", "mean", "cov")
+    return run
+
+
+def gmm_fit_full(spark, folder):
+    """Full-covariance EM from the return flags to its end: one row per order line."""
+    v = _line_vectors(spark, folder)
+    model, _ = MX.gmm_fit_full(v, "x", MX.group_mixture(v, "x", "g", 3))
+    r = MX.gmm_responsibilities(v, "x", model)
+    return r.select("l_orderkey", "l_linenumber", argmax_component("resp").alias("cluster"))
+
+
 def _all_vectors(spark, folder):
     """Scaled vectors of all three feature sources."""
     ship_package(spark)
@@ -415,14 +449,30 @@ def log_joint(spark, folder):
 
 def dirichlet_draws(spark, folder):
     p = _prepare(spark, folder)
-    return C.dirichlet_draws(p.counts, p.dims, p.priors, "med", seed=1)
+    return _round(C.dirichlet_draws(p.counts, p.dims, p.priors, "med", seed=1), 9, "prob")
+
+
+_fits: dict[tuple[str, str], G.PhenotypeFit] = {}
+
+
+def _fit(spark: SparkSession, folder: str) -> G.PhenotypeFit:
+    """The full number of sweeps, its state kept every hundred; once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _fits:
+        p = _prepare(spark, folder)
+        _fits[key] = G.fit_phenotypes(p.records, p.dims, path=_out(spark, "fit"), commit_every=100)
+    return _fits[key]
 
 
 def fit_phenotypes(spark, folder):
-    p = _prepare(spark, folder)
-    fit = G.fit_phenotypes(p.records, p.dims, sweeps=5)
+    fit = _fit(spark, folder)
     top = C.top_items(C.profiles(fit.counts, fit.dims, fit.priors, "med"))
-    return decode_axis(top, p.tensor.axes["med"], "idx", "med_name").select("k", "rank", "med_name", "prob")
+    return decode_axis(top, _prepare(spark, folder).tensor.axes["med"], "idx", "med_name").select("k", "rank", "med_name", "prob")
+
+
+def fit_history(spark, folder):
+    """Components in use and log joint after every sweep of that fit."""
+    return _fit(spark, folder).history
 
 
 # ---- factorisation ------------------------------------------------------------------------------
@@ -599,6 +649,11 @@ QUERIES: dict[str, Query] = {
     "gmm_resp": gmm_resp,
     "argmax_component": argmax,
     "gmm_step": gmm_step,
+    "gaussian_logpdf_full": _logpdf_full(False),
+    "gaussian_logpdf_singular": _logpdf_full(True),
+    "gmm_step_full": _step_full(False),
+    "gmm_step_singular": _step_full(True),
+    "gmm_fit_full": gmm_fit_full,
     "gmm_init": gmm_init,
     "gmm_fit_diagonal": gmm_fit_diagonal,
     "kmeans_fit": kmeans_fit,
@@ -622,6 +677,7 @@ QUERIES: dict[str, Query] = {
     "log_joint": log_joint,
     "dirichlet_draws": dirichlet_draws,
     "fit_phenotypes": fit_phenotypes,
+    "fit_history": fit_history,
     "ncp_step": ncp_step,
     "ncp_reconstruct": ncp_reconstruct,
     "ncp_mask": ncp_mask,

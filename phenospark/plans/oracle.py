@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phenospark.functions.rand import uniform_sql
+from phenospark.functions.rand import halves, uniform_sql, uniform_sql_of
 from phenospark.functions.scalars import DAY_ORIGIN, TABLE_NAME_PATTERN
 from phenospark.operators.counts import ALPHA, GAMMA_BASE, K0, K_MAX
 from phenospark.operators.mixture import EPSILON, SAMPLES_PER_COMPONENT
@@ -14,6 +14,51 @@ def _in(items: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{i}'" for i in items) + ")"
 
 
+# attempts of the rejection method written out; a draw fails them all with a chance below 1e-20
+_ATTEMPTS = 16
+
+
+def _gammas(cells: str, *stream: int) -> str:
+    """Logs of Gamma(shape, 1) draws of a table (cell, shape): one row (cell, lg) per cell.
+
+    A shape is raised by one and paid back by U^(1/shape). The first accepted attempt counts.
+    """
+    keys = ", ".join(
+        f"({t}, " + ", ".join(f"{key}::BIGINT" for which in (1, 2, 3) for key in halves(*stream, t, which)) + ")" for t in range(_ATTEMPTS))
+    u = [uniform_sql_of("cell", f"a{w}", f"b{w}") for w in (1, 2, 3)]
+    return f"""
+        SELECT cell, arg_min(ln(d) + ln(v), t) + ln({uniform_sql('cell', *stream, 0, 4)}) / any_value(shape) AS lg
+        FROM (SELECT cell, t, shape, d, z, u, pow(1 + z / sqrt(9 * d), 3) AS v
+              FROM (SELECT cell, t, shape, shape + 1.0::DOUBLE - 1.0::DOUBLE / 3 AS d, {u[2]} AS u,
+                           sqrt(-2.0 * ln({u[0]})) * cos(2.0 * pi() * {u[1]}) AS z
+                    FROM ({cells}) CROSS JOIN (VALUES {keys}) AS tries(t, a1, b1, a2, b2, a3, b3)))
+        WHERE CASE WHEN v > 0 THEN ln(u) < 0.5 * z * z + d - d * v + d * ln(v) ELSE false END
+        GROUP BY cell"""
+
+
+# Fixed value: slots of the finite form of the mixture.
+_SLOTS = 64
+
+
+def _slot_draws(axis: str, letter: str, counts: str, code: int) -> str:
+    """(idx, k, lg): draws of every value of an axis in every slot, for the first sweep."""
+    cells = f"""
+        SELECT a.idx * {_SLOTS} + slot.k AS cell, coalesce(c.cnt, 0) + g{letter} AS shape
+        FROM axis_{axis} a CROSS JOIN slot CROSS JOIN gam LEFT JOIN {counts} c ON c.k = slot.k AND c.{axis} = a.idx"""
+    return f"SELECT cell // {_SLOTS} AS idx, cell % {_SLOTS} AS k, lg FROM ({_gammas(cells, 1, 1, code)})"
+
+
+def _log_sum(draws: str) -> str:
+    return f"SELECT k, max(lg) + ln(sum(exp(lg - top))) AS s FROM (SELECT *, max(lg) OVER (PARTITION BY k) AS top FROM {draws}) GROUP BY k"
+
+
+_ALL_CELLS = f"""
+    SELECT slot.k AS cell, coalesce(t.cnt, 0) + {ALPHA / _SLOTS!r}::DOUBLE AS shape FROM slot LEFT JOIN tot t ON t.k = slot.k"""
+_PROFILE_CELLS = """
+    SELECT t.k * nm + a.idx AS cell, coalesce(c.cnt, 0) + gm AS shape
+    FROM tot t CROSS JOIN axis_med a CROSS JOIN gam LEFT JOIN cm c ON c.k = t.k AND c.med = a.idx"""
+
+
 # one common table expression per intermediate result; each may use those before it
 _STEPS: dict[str, str] = {
     "med": """
@@ -74,6 +119,24 @@ _STEPS: dict[str, str] = {
         SELECT d.rec_id, CAST(coalesce(f.id, d.ord) AS BIGINT) AS k
         FROM drawn d LEFT JOIN born b USING (rec_id) LEFT JOIN free f ON f.j = b.j""",
     "moved": "SELECT r.rec_id, patient, diag, med, k FROM rec r JOIN frozen f USING (rec_id)",
+    "slot": f"SELECT unnest(range(0, {_SLOTS})) AS k",
+    "gamma_patient": _slot_draws("patient", "p", "cp", 1),
+    "gamma_diag": _slot_draws("diag", "d", "cd", 2),
+    "gamma_med": _slot_draws("med", "m", "cm", 3),
+    "gamma_all": f"SELECT cell AS k, lg FROM ({_gammas(_ALL_CELLS, 1, 1, 0)})",
+    "log_weight": f"""
+        SELECT k, w.lg - p.s - d.s - m.s AS lw FROM gamma_all w
+          JOIN ({_log_sum('gamma_patient')}) p USING (k) JOIN ({_log_sum('gamma_diag')}) d USING (k) JOIN ({_log_sum('gamma_med')}) m USING (k)""",
+    "slot_mass": """
+        SELECT rec_id, k, exp(lp - max(lp) OVER (PARTITION BY rec_id)) AS mass
+        FROM (SELECT rec_id, lw.k, lw + p.lg + d.lg + m.lg AS lp
+              FROM rec CROSS JOIN log_weight lw JOIN gamma_patient p ON p.idx = patient AND p.k = lw.k
+                JOIN gamma_diag d ON d.idx = diag AND d.k = lw.k JOIN gamma_med m ON m.idx = med AND m.k = lw.k)""",
+    "blocked": f"""
+        SELECT rec_id, count(*) FILTER (WHERE run < {uniform_sql('rec_id', 1, 1)} * total) AS k
+        FROM (SELECT rec_id, sum(mass) OVER (PARTITION BY rec_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run,
+                     sum(mass) OVER (PARTITION BY rec_id) AS total FROM slot_mass) GROUP BY rec_id""",
+    "profile_gammas": f"SELECT cell, lg FROM ({_gammas(_PROFILE_CELLS, 1, 0, 3)})",
     "emb": """
         SELECT vec_id, label, label % 3 AS g, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
                CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings""",
@@ -88,6 +151,22 @@ _STEPS: dict[str, str] = {
         FROM emb JOIN par p USING (dim) GROUP BY vec_id, p.g""",
     "dens": f"SELECT vec_id, k, {EPSILON!r}::DOUBLE + weight * exp(logpdf) AS p FROM logpdf JOIN wt ON wt.g = k",
     "resp": "SELECT vec_id, k, p / sum(p) OVER (PARTITION BY vec_id) AS resp, sum(p) OVER (PARTITION BY vec_id) AS total FROM dens",
+    "line": """
+        SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS g,
+               l_quantity / 10 AS x0, l_extendedprice / 10000 AS x1, l_discount * 10 AS x2 FROM lineitem""",
+    "line_par": """
+        SELECT g, count(*)::DOUBLE / (SELECT count(*) FROM line) AS weight, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2,
+               covar_pop(x0, x0) AS a, covar_pop(x0, x1) AS b, covar_pop(x0, x2) AS c,
+               covar_pop(x1, x1) AS d, covar_pop(x1, x2) AS e, covar_pop(x2, x2) AS f FROM line GROUP BY g""",
+    "line_det": "SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM line_par",
+    "line_dist": """
+        SELECT rid, l_orderkey, l_linenumber, p.g AS k, weight, det, ((d * f - e * e) * y0 * y0 + (a * f - c * c) * y1 * y1 + (a * d - b * b) * y2 * y2
+               + 2 * ((c * e - b * f) * y0 * y1 + (b * e - c * d) * y0 * y2 + (b * c - a * e) * y1 * y2)) / det AS dist
+        FROM (SELECT rid, l.l_orderkey, l.l_linenumber, p.*, x0 - m0 AS y0, x1 - m1 AS y1, x2 - m2 AS y2 FROM line l CROSS JOIN line_det p) p""",
+    "line_log": "SELECT rid, l_orderkey, l_linenumber, k, weight, -0.5 * (3 * ln(2 * pi()) + ln(det) + dist) AS logpdf FROM line_dist",
+    # x = B y with the columns of B (1,0,0,1), (0,1,0,0), (0,0,1,1): the pseudo-determinant is det times
+    # det(B^T B) = 3, and the distance is that of y
+    "line_log4": "SELECT rid, l_orderkey, l_linenumber, k, weight, -0.5 * (4 * ln(2 * pi()) + ln(3 * det) + dist) AS logpdf FROM line_dist",
     "above_med": """
         SELECT lower(p_brand) AS item FROM part GROUP BY p_brand HAVING avg(p_retailprice) > (SELECT avg(p_retailprice) FROM part)""",
     "above_code": """
@@ -201,6 +280,22 @@ _LOG_JOINT = f"""
         + (SELECT sum(lgamma(cnt + gm) - lgamma(gm)) FROM cm CROSS JOIN gam), 4) AS log_joint
     FROM tot CROSS JOIN gam"""
 
+
+
+def _full_step(logs: str, dims: tuple[str, ...]) -> str:
+    """An EM step of order lines under the densities of a step, one row per pair of dimensions."""
+    resp = f"""
+        SELECT rid, k, p / sum(p) OVER (PARTITION BY rid) AS r, sum(p) OVER (PARTITION BY rid) AS total
+        FROM (SELECT rid, k, {EPSILON!r}::DOUBLE + weight * exp(logpdf) AS p FROM {logs})"""
+    cells = " UNION ALL ".join(
+        f"""SELECT CAST(k AS INTEGER) AS k, {i} AS dim, {j} AS other, round(sum(r) / count(*), 6) AS weight, round(sum(r * {x}) / sum(r), 6) AS mean,
+              round(sum(r * ({x} - ax) * ({y} - ay)) / sum(r) - sum(r * ({x} - ax)) / sum(r) * (sum(r * ({y} - ay)) / sum(r)), 6) AS cov,
+              round(sum(ln(total)), 3) AS log_likelihood
+            FROM (SELECT *, avg({x}) OVER () AS ax, avg({y}) OVER () AS ay FROM weighed) GROUP BY k"""
+        for i, x in enumerate(dims) for j, y in enumerate(dims) if i <= j)
+    return f"SELECT * FROM (WITH weighed AS (SELECT * FROM ({resp}) JOIN line USING (rid)) {cells})"
+
+
 _BODIES: dict[str, str] = {
     "relative_day": f"SELECT subject_id, med_name, CAST(date_diff('day', DATE '{DAY_ORIGIN}', date) AS INTEGER) AS day FROM med",
     "asof_visit": "SELECT * FROM nearest_day",
@@ -258,6 +353,10 @@ _BODIES: dict[str, str] = {
           round(sum(resp * x * x) / sum(resp) - (sum(resp * x) / sum(resp)) * (sum(resp * x) / sum(resp)), 6) AS var,
           round(sum(ln(total)), 6) AS log_likelihood
         FROM emb JOIN resp USING (vec_id) GROUP BY k, dim""",
+    "gaussian_logpdf_full": "SELECT l_orderkey, l_linenumber, CAST(k AS INTEGER) AS k, round(logpdf, 6) AS logpdf FROM line_log",
+    "gaussian_logpdf_singular": "SELECT l_orderkey, l_linenumber, CAST(k AS INTEGER) AS k, round(logpdf, 6) AS logpdf FROM line_log4",
+    "gmm_step_full": _full_step("line_log", ("x0", "x1", "x2")),
+    "gmm_step_singular": _full_step("line_log4", ("x0", "x1", "x2", "(x0 + x2)")),
     "gmm_init": f"""
         SELECT CAST(i // {SAMPLES_PER_COMPONENT} AS INTEGER) AS k, dim, round(1.0::DOUBLE / 3, 9) AS weight,
           round(avg(x), 9) AS mean, round(var_pop(x), 9) AS var
@@ -272,6 +371,11 @@ _BODIES: dict[str, str] = {
     "draw_category": """
         SELECT rec_id, CAST(count(tot.k) AS INTEGER) AS at FROM drawn LEFT JOIN tot ON tot.k < ord GROUP BY rec_id""",
     "frozen_sweep": "SELECT rec_id, k FROM frozen",
+    "blocked_sweep": "SELECT rec_id, k FROM blocked",
+    "dirichlet_draws": """
+        SELECT 'med' AS axis, k, idx, round(e / sum(e) OVER (PARTITION BY k), 9) AS prob
+        FROM (SELECT cell // nm AS k, cell % nm AS idx, exp(lg - max(lg) OVER (PARTITION BY cell // nm)) AS e
+              FROM profile_gammas CROSS JOIN dims)""",
     "compact_components": """
         SELECT rec_id, k, k_compact FROM frozen
         JOIN (SELECT k, row_number() OVER (ORDER BY k) - 1 AS k_compact FROM (SELECT DISTINCT k FROM frozen)) USING (k)""",

@@ -50,8 +50,8 @@ def test_uniforms_agree_and_look_uniform(spark):
     df = spark.range(n).select("id", R.uniform("id", 5, 6).alias("u"), R.uniform(F.col("id") * 7 + (1 << 40), 5, 6).alias("v"))
     pdf = df.orderBy("id").toPandas()
     ids = np.arange(n)
-    assert np.array_equal(pdf["u"], R.np_uniform32(ids, 5, 6))
-    assert np.array_equal(pdf["v"], R.np_uniform32(ids * 7 + (1 << 40), 5, 6))
+    assert np.array_equal(pdf["u"], R.np_uniform(ids, 5, 6))
+    assert np.array_equal(pdf["v"], R.np_uniform(ids * 7 + (1 << 40), 5, 6))
     for u in (pdf["u"].to_numpy(), R.np_uniform(ids, 1, 2)):
         assert 0 < u.min() and u.max() < 1
         counts = np.bincount((u * 20).astype(int), minlength=20)

@@ -187,3 +187,91 @@ def test_planted_groups_are_found(spark, records):
     history = fit.history.orderBy("sweep").collect()
     assert 3 <= history[-1]["n_components"] <= 12
     assert history[-1]["log_joint"] > history[0]["log_joint"] + 100
+
+
+class Killed(RuntimeError):
+    pass
+
+
+def rows_of(fit):
+    # sums of the log joint may round differently
+    history = sorted((r["sweep"], r["n_components"], r["k_max"], round(r["log_joint"], 6)) for r in fit.history.collect())
+    return (sorted(map(str, fit.assignments.select("rec_id", "k").collect())), history,
+            sorted(map(str, fit.counts.collect())))
+
+
+@pytest.mark.parametrize("limit, every, at", [(None, 1, "before"), (None, 2, "after"), (None, 1, "commit"), (0, 1, "commit")])
+def test_a_killed_fit_goes_on_where_it_was(spark, records, tmp_path, monkeypatch, limit, every, at):
+    """Killed before or after a sweep, or between a commit's counts and its log row."""
+    _, _, df = records
+    settings = dict(sweeps=5, seed=3, limit=limit)
+    whole = rows_of(G.fit_phenotypes(df.drop("k"), DIMS, **settings))
+    ran, sweep, commit = [], G.roomy_sweep, G.SweepLog.commit
+
+    def dying(run, state, number, keep):
+        if at == "before" and number == 4:
+            raise Killed
+        ran.append(number)
+        out = sweep(run, state, number, keep)
+        if at == "after" and number == 4:
+            raise Killed
+        return out
+
+    def half(self, counts):
+        if at == "commit" and self.waiting[-1][0] == 4:
+            counts.write.mode("overwrite").parquet(f"{self.path}/counts/{1 - self.slot}")
+            raise Killed
+        return commit(self, counts)
+
+    with monkeypatch.context() as m:
+        m.setattr(G, "roomy_sweep", dying)
+        m.setattr(G.SweepLog, "commit", half)
+        with pytest.raises(Killed):
+            G.fit_phenotypes(df.drop("k"), DIMS, path=str(tmp_path / "fit"), commit_every=every, **settings)
+    assert max(ran) in (3, 4)
+    ran.clear()
+    with monkeypatch.context() as m:
+        m.setattr(G, "roomy_sweep", lambda *a, **b: (ran.append(a[2]), sweep(*a, **b))[1])
+        again = G.fit_phenotypes(df.drop("k"), DIMS, path=str(tmp_path / "fit"), commit_every=every, **settings)
+    assert ran == list(range(3 if every == 2 else 4, 6))
+    assert rows_of(again) == whole
+    # finished: read, not run again; more sweeps go on from its end
+    with monkeypatch.context() as m:
+        m.setattr(G, "roomy_sweep", None)
+        assert rows_of(G.fit_phenotypes(df.drop("k"), DIMS, path=str(tmp_path / "fit"), **settings)) == whole
+    if limit is None and every == 1 and at == "before":
+        more = settings | {"sweeps": 6}
+        assert rows_of(G.fit_phenotypes(df.drop("k"), DIMS, path=str(tmp_path / "fit"), **more)) == rows_of(G.fit_phenotypes(df.drop("k"), DIMS, **more))
+        with pytest.raises(ValueError):
+            G.fit_phenotypes(df.drop("k"), DIMS, path=str(tmp_path / "fit"), sweeps=6, seed=4)
+        with pytest.raises(ValueError):
+            G.fit_phenotypes(df.drop("k"), DIMS, path=str(tmp_path / "fit"), **settings)
+
+
+def test_long_axes_move_counts_not_draws(spark, records, monkeypatch):
+    """Nothing of the size values x slots is written, joined or shuffled."""
+    _, rows, df = records
+    written = []
+    monkeypatch.setattr(G, "materialize", lambda t, name, slot=None: (written.append((name, t.columns)), G_materialize(t, name, slot))[1])
+    fit = G.fit_phenotypes(df.drop("k"), DIMS, sweeps=2, seed=2, limit=0)
+    assert fit.assignments.count() == len(rows)
+    assert {name for name, _ in written} == {"counts", "assigned"}
+    run = G._Blocked(df.select("rec_id", *G.AXES), DIMS, C.Priors.from_dims(DIMS), 2, 0)
+    state = run.start(10, 64)
+    stored = state.large.where("axis = 'patient'")
+    _, _, large = run.draw_parameters(state, 1)
+    assert large["patient"].dtypes == [("patient", "bigint"), ("_c_patient", "array<struct<k:int,cnt:bigint>>")]
+    assert large["patient"].select(F.sum(F.size("_c_patient"))).first()[0] == stored.count() < DIMS["patient"] * 64 / 4
+    run.release()
+
+
+G_materialize = G.materialize
+
+
+def test_values_without_records_count_in_the_normaliser(spark):
+    """Axes longer than their values in use; all forms draw the same."""
+    dims = {"patient": 400, "diag": 8, "med": 9}
+    _, rows = planted(120, seed=9)
+    df = frame(spark, rows).drop("k")
+    first, second = (G.fit_phenotypes(df, dims, sweeps=3, seed=5, limit=limit) for limit in (None, 0))
+    assert rows_of(first)[0] == rows_of(second)[0]

@@ -1,5 +1,7 @@
 """Every named query with SQL gives the rows of that SQL."""
 
+import functools
+
 import pytest
 
 from compare import connect, differences
@@ -22,7 +24,7 @@ def test_same_rows(spark, duck, name):
     assert not [d for d in found if not d.startswith("note")]
 
 
-@pytest.mark.parametrize("name", ["visit_pairs", "tensor_bag", "decode_triplets", "scaled_features", "frozen_sweep", "ncp_reconstruct"])
+@pytest.mark.parametrize("name", ["visit_pairs", "tensor_bag", "decode_triplets", "scaled_features", "frozen_sweep", "blocked_sweep", "ncp_reconstruct"])
 def test_same_rows_when_nothing_may_be_broadcast(spark, duck, monkeypatch, name):
     """Every size check fails, so the salted joins do the work."""
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
@@ -32,7 +34,9 @@ def test_same_rows_when_nothing_may_be_broadcast(spark, duck, monkeypatch, name)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_has_rows(spark, name):
+def test_has_rows(spark, monkeypatch, name):
+    # the thousand sweeps of the registered fit take minutes; their number changes nothing here
+    monkeypatch.setattr(catalog.G, "fit_phenotypes", functools.partial(catalog.G.fit_phenotypes, sweeps=6))
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
