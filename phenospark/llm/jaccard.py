@@ -1,8 +1,9 @@
 """Similarity join on word n-grams with exact Jaccard links, and the components they form.
 
 Documents with one n-gram set are one node. A node files its prefix (the grams of least hash of
-which a linked node must share one) and its size; nodes under one gram form a tile, split into
-blocks when very large. In a tile, sorted by size, only nodes whose sizes allow the similarity are
+which a linked node must share one) and its size. Nodes under one gram, in order of size, are cut
+into bands wherever the next size is too large to allow the similarity; a gram and a band make a
+tile, split into blocks when very large, and nodes alone in theirs go no further. In a tile only nodes whose sizes allow the similarity are
 compared, first by what is left of their sorted grams from the tile's gram on, then by hashed bitmap
 signatures: the bits one has and the other lacks bound the overlap from above. Pairs that pass are bounded again by signatures whose width grows with the size band,
 and those left are checked by intersecting the exact sorted arrays.
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from phenospark.llm.common import prepare
 from phenospark.llm.components import components
 from phenospark.llm.textscan import FAMILIES, Words, grams, scan
+from phenospark.operators.joins import lookup
 from phenospark.runtime import materialize
 
 BITS = 2048
 STAR_FROM = 16
 BLOCK = 8192
 COMPARED_ROWS = 256
+TILE = ("key", "band", "lo", "hi")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -177,7 +180,7 @@ def _tiles(pct: int, again: bool):
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            keys = np.stack([batch.column(c).to_numpy() for c in TILE])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -202,7 +205,7 @@ def _in_tiles(rows: DataFrame, sigs: DataFrame, pct: int, again: bool) -> DataFr
     placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "g")
     placed = placed.join(sigs, "sid")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = placed.repartition(parts, *TILE).sortWithinPartitions(*TILE)
     return dealt.mapInArrow(_tiles(pct, again), "a bigint, b bigint").distinct()
 
 
@@ -233,19 +236,48 @@ def _bounded(pct: int):
     return run
 
 
-def _survivors(pairs: DataFrame, wides: DataFrame, pct: int) -> DataFrame:
+def _needed(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose sid is in a pair; a short list of sids is sent to the table."""
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    return lookup(table, ids, ["sid"], rows=ids.count(), row_bytes=24, skewed=False)
+
+
+def _survivors(pairs: DataFrame, filed: DataFrame, pct: int) -> DataFrame:
     """Pairs that the bit counts of the full-width signatures don't rule out either."""
+    # equal sets filed by several tasks have equal signatures
+    wides = _needed(filed.select("sid", "n", "wide"), pairs).dropDuplicates(["sid"])
     x = wides.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x"))
     y = wides.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "nx", "y", "ny").mapInArrow(_bounded(pct), "a bigint, b bigint")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    sets = _needed(sets, pairs)
     x = sets.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(pct), "a bigint, b bigint")
 
 
+def _named_apart(sketch: DataFrame) -> DataFrame:
+    """Different sets that share a 64-bit name (told by a second hash) get names from both hashes."""
+    clash = sketch.groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x != y").select("sid", F.lit(True).alias("clash"))
+    n = clash.count()
+    if not n:
+        return sketch
+    both = lookup(sketch, clash, ["sid"], "left", rows=n)
+    return both.withColumn("sid", F.when(F.col("clash"), F.xxhash64("sid", "check")).otherwise(F.col("sid"))).drop("clash")
+
+
+def _banded(filed: DataFrame, pct: int) -> DataFrame:
+    """Rows (key, band, pos, sid, n, g) of the tiles with g > 1 nodes."""
+    order = Window.partitionBy("key").orderBy("n", "sid")
+    rows = filed.select(F.posexplode("prefix").alias("pos", "key"), "sid", "n").withColumn("old", F.lag("sid").over(order).eqNullSafe(F.col("sid")))
+    rows = rows.where("NOT old").drop("old")
+    apart = F.coalesce(100 * F.lag("n").over(order) < pct * F.col("n"), F.lit(False)).cast("int")
+    rows = rows.withColumn("apart", apart).withColumn("band", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("apart")
+    return rows.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("key", "band"))).where("g > 1")
+
+
 def link_sets(docs: DataFrame, n_gram: int = 4, pct: int = 85, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The sketch (doc, sid, n) of every document and exact links (a, b) between sids that suffice for the components.
 
@@ -269,30 +301,25 @@ def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> t
         base.mapInArrow(_sketch(n_gram, pct), "doc bigint, rid int, sid bigint, check bigint, n int, prefix array<bigint>, sig binary, wide binary"),
         "sketch",
     )
-    clash = sketch.groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x != y").limit(1).count()
-    if clash:
-        raise RuntimeError("two different sets share a 64-bit name; change the hash families' seeds")
-
+    sketch = _named_apart(sketch)
     filed = sketch.where("size(prefix) > 0")
-    by_key = Window.partitionBy("key").orderBy("sid")
-    rows = filed.select(F.posexplode("prefix").alias("pos", "key"), "sid", "n").withColumn("old", F.lag("sid").over(by_key).eqNullSafe(F.col("sid")))
-    rows = rows.where("NOT old").drop("old")
-    tiles = materialize(rows.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("g > 1"), "tiles")
+    tiles = materialize(_banded(filed, pct), "tiles")
     # equal sets filed by several tasks have equal signatures
     sigs = filed.select("sid", "sig").dropDuplicates(["sid"])
-    wides = filed.select("sid", "n", "wide").dropDuplicates(["sid"])
-    ends = tiles.where("g = 2").groupBy("key").agg(F.min(F.struct("sid", "n")).alias("x"), F.max(F.struct("sid", "n")).alias("y"))
-    sized = (100 * F.least("x.n", "y.n") >= pct * F.greatest("x.n", "y.n"))
-    twos = ends.where(sized).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    ends = tiles.where("g = 2").groupBy("key", "band").agg(F.min("sid").alias("a"), F.max("sid").alias("b"))
+    twos = ends.select("a", "b").distinct()
     tried = materialize(_in_tiles(tiles.where("g > 2"), sigs, pct, again=False).unionByName(twos).distinct(), "pairs")
-    pairs = materialize(_survivors(tried.where("a != b"), wides, pct), "survivors")
-
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(tried.where("a = b").select("a")).distinct()
-    where = sketch.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc", "rid")).alias("at"))
-    where = materialize(where.select("sid", F.col("at.doc").alias("at_doc"), F.col("at.rid").alias("at_rid")), "where")
+    pairs = materialize(_survivors(tried.where("a != b"), filed, pct), "survivors")
+
+    marked = tried.where("a = b").select("a", "b")
+    wanted = pairs.unionByName(marked)
+    ids = wanted.select(F.col("a").alias("sid")).union(wanted.select("b")).distinct()
+    where = lookup(sketch, ids, ["sid"], rows=ids.count(), row_bytes=24, skewed=False).groupBy("sid").agg(F.min(F.struct("doc", "rid")).alias("at"))
+    no_doc = F.col("at.doc").isNull()
+    where = materialize(where.select("sid", F.coalesce("at.doc", F.lit(0)).alias("k"), no_doc.alias("none"), F.col("at.rid").alias("rid")), "where")
+    keyed = base.select(F.coalesce("doc", F.lit(0)).alias("k"), F.col("doc").isNull().alias("none"), "rid", "text")
     # equal rows would give the text twice
-    found = base.join(where, base["doc"].eqNullSafe(where["at_doc"]) & (base["rid"] == where["at_rid"])).select("sid", "text")
-    found = found.dropDuplicates(["sid"])
+    found = lookup(keyed, where, ["k", "none", "rid"], rows=where.count(), row_bytes=48, skewed=False).select("sid", "text").dropDuplicates(["sid"])
     sets = materialize(found.mapInArrow(_exact_sets(n_gram), "sid bigint, grams binary"), "sets")
     links = materialize(_linked(pairs, sets, pct), "links")
 
@@ -300,7 +327,7 @@ def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> t
     large = tiles.where(F.col("g") > STAR_FROM).join(names.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left")
     large = large.withColumn("comp", F.coalesce("comp", "sid"))
     rest = materialize(_in_tiles(large, sigs, pct, again=True).join(tried, ["a", "b"], "left_anti"), "more_pairs")
-    left = materialize(_survivors(rest, wides, pct), "more_survivors")
+    left = materialize(_survivors(rest, filed, pct), "more_survivors")
     more = materialize(_linked(left, sets, pct), "more_links")
     return sketch.select("doc", "sid", "n"), links.unionByName(more)
 
