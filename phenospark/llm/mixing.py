@@ -2,26 +2,25 @@
 
 Tokens (words) are summed per source; a source's target is its weighted share of the wanted total,
 limited to a multiple of its own size with the excess shared again. A document is emitted
-floor(rate) times, plus one more copy with probability equal to the fraction of the rate, decided
-by its hash. The decisions are systematic: documents of a source are ordered by size class and
-hash, and a seeded random phase walks through them in steps of the fraction. Each document's
-chance is exactly the fraction, and the words taken miss the target by about one document.
+floor(rate) times, plus one more copy with probability equal to the fraction of the rate: one
+Bernoulli draw per document, decided by a hash of the seed, its key and its text. So nothing but
+the summed sources is shuffled or ordered, any split of the rows gives the same copies, and reruns agree.
+The words taken miss a source's target by about the root of the summed squares of its sizes.
 
 Defined cases: a null text has size 0; null sources form the last source; a source without words
-has target and rate 0; repeated rows are documents of their own (equal rows may differ in copies);
-extra columns are kept, and columns with an output's name are replaced.
+has target and rate 0; documents without a key, or that share one, are told apart by their text,
+and equal rows get the same copies each; extra columns are kept, and columns with an output's name are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from phenospark.llm.common import n_words, unused
 from phenospark.operators.axis import dense_index
+from phenospark.operators.joins import lookup
 from phenospark.runtime import materialize
 
-CHUNK_DOCS = 4096
-
 
 def source_plan(
     sized: DataFrame, source: str, size: str, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0
@@ -56,31 +55,26 @@ def source_plan(
     return plan.withColumn("target", target).withColumn("rate", rate)
 
 
-def _fraction_of_hash(text: Column) -> Column:
-    """A number in [0, 1) from the first 32 bits of the MD5 of a text."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
+def _uniform_of_hash(*parts: Column) -> Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of some texts (null is no text)."""
+    told = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("null")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *told)), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
-def decide_copies(docs: DataFrame, plan: DataFrame, source: str, size: str, key: str, seed: int = 1) -> DataFrame:
-    """Add source_size, target and copies (long) to every document.
 
-    Large sources are cut into hashed chunks of about ``CHUNK_DOCS`` documents, so no task orders
-    more than one chunk, whatever share of the rows its source holds.
-    """
-    chunk, md, rank, fraction, phase = unused(docs, "chunk", "md", "rank", "fraction", "phase")
+def decide_copies(docs: DataFrame, plan: DataFrame, source: str, key: str, text: str, seed: int = 1) -> DataFrame:
+    """Add source_size, target and copies (long) to every document; one pass, where the plan has a
+    bounded size, else documents meet their source's row dealt out in pieces."""
+    name, nameless, rate = unused(docs, "mix_name", "no_source", "mix_rate")
     cols = docs.columns
-    joined = docs.join(plan.select("mix_source", "source_size", "n_docs", "target", "rate"), docs[source].eqNullSafe(plan["mix_source"]))
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    chunks = F.ceil(F.col("n_docs") / CHUNK_DOCS)
-    where = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.concat(F.lit("s"), source), F.lit("null")), F.col(chunk).cast("string"))
-    w = Window.partitionBy(source, chunk).orderBy(F.length(F.bin(size)), md, key)
-    step = joined.withColumn(md, F.md5(F.concat_ws("|", F.lit(str(seed)), name)))
-    step = step.withColumn(chunk, F.conv(F.substring(md, 9, 8), 16, 10).cast("bigint") % chunks)
-    step = step.withColumns({
-        rank: F.row_number().over(w).cast("double"), fraction: F.col("rate") - F.floor("rate"), phase: _fraction_of_hash(where),
-    })
-    extra = F.floor(F.col(rank) * F.col(fraction) + F.col(phase)) - F.floor((F.col(rank) - 1) * F.col(fraction) + F.col(phase))
-    return step.withColumn("copies", (F.floor("rate") + extra).cast("bigint")).select(*cols, "source_size", "target", "copies")
+    # joins drop null keys
+    named = docs.withColumns({name: F.coalesce(source, F.lit("")), nameless: F.col(source).isNull()})
+    rows = plan.select(
+        F.coalesce("mix_source", F.lit("")).alias(name), F.col("mix_source").isNull().alias(nameless), "source_size", "target", F.col("rate").alias(rate))
+    rows = materialize(rows, "mix_plan")
+    joined = lookup(named, rows, [name, nameless], rows=rows.count(), row_bytes=128)
+    u = _uniform_of_hash(F.lit(str(seed)), F.col(key).cast("string"), F.col(text))
+    copies = F.floor(rate) + (u < F.col(rate) - F.floor(rate)).cast("bigint")
+    return joined.select(*cols, "source_size", "target", copies.cast("bigint").alias("copies"))
 
 
 def mix_sources(
@@ -90,7 +84,7 @@ def mix_sources(
     """Every document with size, source_size, target and copies; :func:`emit` repeats the rows."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")))
     sized = docs.withColumn("size", n_words(text))
-    return decide_copies(sized, source_plan(sized, source, "size", weights, share, cap), source, "size", key, seed)
+    return decide_copies(sized, source_plan(sized, source, "size", weights, share, cap), source, key, text, seed)
 
 
 def emit(mixed: DataFrame) -> DataFrame:

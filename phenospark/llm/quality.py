@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phenospark.llm.common import bind, unused, words
+from phenospark.operators.joins import lookup
 from phenospark.runtime import materialize
 
 SYMBOL = r"[#*$%&|<>]"
@@ -111,6 +112,7 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, limit: float) -> Da
     a host with a third of them costs one partial row per task.
     """
     hosts = judged.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("bigint")).alias("n_failed"))
+    hosts = materialize(hosts, "hosts")
     p = F.col("n_failed") / F.col("n_docs")
     total = hosts.agg(
         F.sum("n_docs").alias("n"), F.sum("n_failed").alias("k"), F.count(F.lit(1)).alias("h"),
@@ -139,11 +141,12 @@ def beta_prior(n: int, k: int, hosts: int, pp: float) -> tuple[float, float]:
 def judge(measured: DataFrame, rules: QualityRules = QualityRules(), source: str = "source") -> DataFrame:
     """Add base_failed, host_failed and kept to documents that have their counts.
 
-    ``measured`` is read twice (for hosts, then for documents), so it should be a written table.
+    ``measured`` is read twice (for hosts, then for documents). The verdicts go to the documents if
+    their number is small; otherwise both are dealt by host, large hosts in pieces.
     """
     outs = ("base_failed", "host_failed", "kept")
     measured = measured.drop(*(c for c in measured.columns if c.lower() in outs))
-    (host, any_failed, gross) = unused(measured, "host", "any_failed", "gross")
+    (host, any_failed, gross, no_host) = unused(measured, "host", "any_failed", "gross", "no_host")
     failures = _failures(rules)
     judged = measured.withColumns({
         host: host_of(source),
@@ -151,12 +154,13 @@ def judge(measured: DataFrame, rules: QualityRules = QualityRules(), source: str
         any_failed: failures["base"] | failures["symbols"] | failures["lines"] | failures["shape"],
         gross: failures["gross"],
     })
-    verdicts = host_verdicts(judged, host, any_failed, rules.host_limit)
-    (key,) = unused(judged, "verdict_host")
-    verdicts = verdicts.select(F.col(host).alias(key), "host_failed")
+    # joins drop null keys
+    apart = {no_host: F.col(host).isNull(), host: F.coalesce(host, F.lit(""))}
+    verdicts = materialize(host_verdicts(judged, host, any_failed, rules.host_limit), "verdicts")
+    verdicts = verdicts.withColumns(apart).select(host, no_host, "host_failed")
     kept = ~F.col("base_failed") & ~F.col(gross) & ~(F.col("host_failed") & F.col(any_failed))
-    joined = judged.join(verdicts, judged[host].eqNullSafe(verdicts[key]), "left")
-    return joined.withColumn("kept", kept).drop(host, key, any_failed, gross)
+    joined = lookup(judged.withColumns(apart), verdicts, [host, no_host], rows=verdicts.count(), row_bytes=96)
+    return joined.select(*measured.columns, "base_failed", "host_failed", kept.alias("kept"))
 
 
 def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", source: str = "source") -> DataFrame:

@@ -164,11 +164,11 @@ def _edge_rows(window: int):
     return run
 
 
-def _kept(text: str, out: str):
+def _kept(text: str, out: str, of_row: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, removed, kept = [], [], []
-            for body, spans in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist()):
+            for body, spans in zip(batch.column(text).to_pylist(), batch.column(of_row).to_pylist()):
                 words = (body or "").encode().split()
                 totals.append(len(words))
                 if spans:
@@ -179,7 +179,7 @@ def _kept(text: str, out: str):
                     words = list(compress(words, (np.cumsum(change)[:-1] == 0).tolist()))
                 removed.append(totals[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            names = [c for c in batch.schema.names if c != "spans"]
+            names = [c for c in batch.schema.names if c != of_row]
             columns = [batch.column(c) for c in names] + [pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_removed", out])
 
@@ -226,16 +226,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", key: s
     """Add n_words, n_removed and the kept words joined by one space."""
     prepare(docs.sparkSession)
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", out.lower())))
-    doc, rid, d2, r2 = unused(docs, "doc", "rid", "key_doc", "key_rid")
+    doc, rid, d2, r2, of_row = unused(docs, "doc", "rid", "key_doc", "key_rid", "spans")
     lowest = F.lit(-(1 << 63)).cast("bigint")
     place = docs.withColumns({
         doc: F.coalesce(F.col(key).cast("bigint"), lowest), rid: F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"),
     })
     keyed = place.select(F.col(doc).alias("doc"), F.col(rid).alias("rid"), F.col(text).alias("text"))
-    spans = repeated_spans(keyed, window).select(F.col("doc").alias(d2), F.col("rid").alias(r2), "spans")
+    spans = repeated_spans(keyed, window).select(F.col("doc").alias(d2), F.col("rid").alias(r2), F.col("spans").alias(of_row))
     names = docs.columns
-    if "spans" in names:
-        raise ValueError("rename the column 'spans' before removing repeats")
-    joined = place.join(spans, (F.col(doc) == F.col(d2)) & (F.col(rid) == F.col(r2)), "left").select(*names, "spans")
+    joined = place.join(spans, (F.col(doc) == F.col(d2)) & (F.col(rid) == F.col(r2)), "left").select(*names, of_row)
     schema = joined.select(*names, F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.lit("").alias(out)).schema
-    return joined.mapInArrow(_kept(text, out), schema)
+    return joined.mapInArrow(_kept(text, out, of_row), schema)

@@ -7,7 +7,7 @@ import re
 import string
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, kept string, copies string, spans_ string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, kept string, copies string, spans string"
 
 
 def prose(n: int, seed: int) -> str:
