@@ -180,6 +180,29 @@ def profiles(counts: DataFrame, dims: dict[str, int], priors: Priors, axis: str)
     return grid.join(found, ["k", "idx"], "left").select(F.lit(axis).alias("axis"), "k", "idx", prob.alias("prob"))
 
 
+def sparse_profiles(counts: DataFrame, dims: dict[str, int], priors: Priors, axis: str) -> DataFrame:
+    """(axis, k, idx, prob) of the values that were counted with a component, and one row per live
+    component without ``idx``: the probability of each of all its other values.
+
+    As long as the stored counts, where :func:`profiles` has values x components rows.
+    """
+    g, n = priors.gamma[axis], dims[axis]
+    totals = counts.where("axis = 'all'").select("k", F.col("cnt").alias("total"))
+    found = counts.where(F.col("axis") == axis).select("k", "idx", "cnt")
+    joined = lookup(found, totals, ["k"], rows=totals.count())
+    rest = totals.select("k", F.lit(None).cast("bigint").alias("idx"), F.lit(0).cast("bigint").alias("cnt"), "total")
+    prob = (F.col("cnt") + F.lit(g)) / (F.col("total") + F.lit(n * g))
+    return joined.select("k", "idx", "cnt", "total").unionByName(rest).select(F.lit(axis).alias("axis"), "k", "idx", prob.alias("prob"))
+
+
+def profile_of(profile: DataFrame, cells: DataFrame) -> DataFrame:
+    """The cells ``(k, idx, ...)`` with their probability in a sparse profile of one axis."""
+    rest = profile.where(F.col("idx").isNull()).select("k", F.col("prob").alias("_rest"))
+    held = profile.where(F.col("idx").isNotNull()).select("k", "idx", "prob")
+    joined = lookup(cells, rest, ["k"], rows=rest.count()).join(held, ["k", "idx"], "left")
+    return joined.withColumn("prob", F.coalesce("prob", "_rest")).drop("_rest")
+
+
 def component_shares(counts: DataFrame) -> DataFrame:
     """(k, cnt, share): each live component's part of all records."""
     totals = counts.where("axis = 'all'").select("k", "cnt")
@@ -216,14 +239,19 @@ def score_triplets(records: DataFrame, counts: DataFrame, dims: dict[str, int],
     return rows.withColumn("score", likelihood(*_array_columns())).drop(*_array_columns())
 
 
-def log_joint(counts: DataFrame, dims: dict[str, int], priors: Priors, r: int = K_MAX) -> DataFrame:
+def log_joint(counts: DataFrame, dims: dict[str, int], priors: Priors, r: int | None = None) -> DataFrame:
     """One row (n_records, n_components, log_joint): log-probability of assignments and records
     with weights and profiles integrated out, for the finite form with ``r`` components.
 
-    Cells without records contribute nothing, so only stored counts are visited. ``r`` must be at
-    least the number of components in use; fewer is an error.
+    Cells without records contribute nothing, so only stored counts are visited. By default ``r`` is
+    that of a fit: 64, doubled until the components in use fit. A given ``r`` below their number is
+    an error.
     """
     alpha = priors.alpha
+    if r is None:
+        r, live = K_MAX, counts.where("axis = 'all'").count()
+        while r < live:
+            r *= 2
     value = F.lit(0.0)
     for axis in AXES:
         g = priors.gamma[axis]

@@ -16,10 +16,13 @@ from phenospark.runtime import materialize
 def filter_candidates(events: DataFrame, column: str, candidates: DataFrame) -> DataFrame:
     """Events whose item, lower-cased, is in the candidate table ``(item)``.
 
-    Catalyst broadcasts the candidates when their size allows it.
+    The candidates' number and bytes are measured: a short list is sent to the events, which then
+    stay where they are. Against a longer one the events meet by item, frequent items in pieces.
     """
-    wanted = candidates.select(F.lower("item").alias("_item"))
-    return events.join(wanted, F.lower(events[column]) == F.col("_item"), "left_semi")
+    wanted = materialize(candidates.select(F.lower("item").alias("_item")).dropna().distinct(), "candidates")
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_item")), F.lit(0)).alias("b")).first()
+    keyed = events.withColumn("_item", F.lower(events[column]))
+    return lookup(keyed, wanted, ["_item"], "left_semi", rows=size["n"], row_bytes=40 + size["b"] // max(size["n"], 1)).drop("_item")
 
 
 def _tuples(events: DataFrame, item: str, value, source: str, candidates: DataFrame | None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,9 +42,13 @@ def hot_keys(df: DataFrame, on: list[str], share: float | None = None) -> DataFr
 
 
 def spread(left: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """Add ``_piece``: rows of a hot key get one of its pieces, all others 0."""
+    """Add ``_piece``: rows of a hot key get one of its pieces, rows with a null key, which no join
+    matches, any piece, all others 0."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some_null = functools.reduce(operator.or_, [F.col(c).isNull() for c in on])
+    fan = F.coalesce("_fan", F.when(some_null, 2 * parts).otherwise(1))
     # the partition number separates rows that are equal in every column
-    piece = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.coalesce("_fan", F.lit(1)))
+    piece = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), fan)
     return left.join(F.broadcast(hot), on, "left").withColumn("_piece", piece.cast("int")).drop("_fan")
 
 
@@ -67,7 +74,8 @@ def lookup(
     A side of known size within the limit is broadcast. Otherwise both sides shuffle on the key,
     and keys that dominate ``left`` are salted: their rows spread over several partitions and the
     single matching row of ``right`` is repeated once per piece. Pass ``skewed=False`` when few
-    rows can share a key; it saves the pass that looks for dominating keys.
+    rows can share a key; it saves the pass that looks for dominating keys. Rows whose key is null
+    match nothing; if they dominate, they are dealt out too.
     """
     if rows is not None and fits_broadcast(rows, row_bytes, limit):
         return left.join(F.broadcast(right), on, how)

@@ -12,7 +12,7 @@ from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.sql import DataFrame, functions as F
 
 from phenospark.functions.rand import np_uniform
-from phenospark.operators.axis import dense_index
+from phenospark.operators.order import rows_at
 from phenospark.operators.vectors import block, collect_matrix, dimension_stats, lists
 from phenospark.runtime import materialize
 
@@ -256,13 +256,13 @@ def mixture_from_step(step: DataFrame) -> Mixture:
 def seed_components(df: DataFrame, order: str, column: str, k: int, seed: int, samples: int = SAMPLES_PER_COMPONENT) -> DataFrame:
     """k * samples rows drawn with replacement: (component, draw, column).
 
-    The driver only draws row numbers. Keys alone are numbered; the few keys drawn then pick their
-    vectors. ``order`` is a column that is unique per row.
+    The driver only draws row numbers; :func:`rows_at` finds the rows without ordering all of them.
+    ``order`` is a column that is unique per row; rows where it is null are not drawn.
     """
-    numbered, n = dense_index(df.select(order), [order], "_row")
+    n = df.where(F.col(order).isNotNull()).count()
     draws = [(i // samples, i % samples, int(u * n)) for i, u in enumerate(np_uniform(np.arange(k * samples), seed))]
     wanted = df.sparkSession.createDataFrame(draws, "component int, draw int, _row bigint")
-    keys = numbered.join(F.broadcast(wanted), "_row")
+    keys = rows_at(df, order, sorted({d[2] for d in draws}), n).join(F.broadcast(wanted), "_row")
     return df.select(order, column).join(F.broadcast(keys), order).select("component", "draw", column)
 
 

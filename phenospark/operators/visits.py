@@ -37,11 +37,12 @@ def visit_sides(
     strategy: str | None = None,
     debug_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The two long tables of visits: distinct (subject, day, code) and (subject, day, med_name).
+    """The two long tables of visits: (subject, day, code) and (subject, day, med_name). Rows may
+    repeat; visits take them as sets.
 
     ``debug_dir`` also writes the dated diagnoses and the assigned medications as CSV.
     """
-    codes = with_day(diagnostic, "code", origin)
+    codes = diagnostic.select("subject_id", relative_day("date", origin).alias("day"), "code").dropna()
     assigned = assign_visit_day(medication, diagnostic, tolerance, origin, strategy)
     if debug_dir:
         diagnostic.select("subject_id", "code", relative_day("date", origin).alias("date")).write.csv(
@@ -53,24 +54,55 @@ def visit_sides(
     meds = (
         assigned.where(F.col("assigned").isNotNull())
         .select("subject_id", F.col("assigned").alias("day"), "med_name")
-        .distinct()
     )
     return codes, meds
 
 
+# a visit with more pairs than this is cut into pieces that any task may take
+PAIRS_PER_PIECE = 1 << 16
+
+
+def _visit_arrays(codes: DataFrame, meds: DataFrame) -> DataFrame:
+    """One row per visit that has both sides; its arrays are no longer than the item dictionaries."""
+    left = codes.groupBy(*VISIT).agg(F.collect_set("code").alias("codes"))
+    right = meds.groupBy(*VISIT).agg(F.collect_set("med_name").alias("meds"))
+    return left.join(right, VISIT)
+
+
 def build_visits(medication: DataFrame, diagnostic: DataFrame, **options) -> DataFrame:
-    """One row per visit that has both sides, with sorted arrays of its codes and medications.
+    """One row per visit that has both sides, with sorted arrays of its codes and medications."""
+    visits = _visit_arrays(*visit_sides(medication, diagnostic, **options))
+    return visits.withColumns({"codes": F.array_sort("codes"), "meds": F.array_sort("meds")})
 
-    A visit's arrays hold distinct items, so they are no longer than the item dictionaries.
+
+def _cut(items: str, width):
+    """An array cut into pieces of ``width`` items."""
+    starts = F.sequence(F.lit(1).cast("bigint"), F.size(items).cast("bigint"), width)
+    return F.transform(starts, lambda i: F.slice(items, i.cast("int"), width.cast("int")))
+
+
+def pairs_of(visits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every (code, medication) of every visit (subject, day, codes, meds).
+
+    The pairs are the result itself, so their number can't be avoided, but a visit's pairs need not
+    come from one task: beyond ``limit`` pairs the medications are cut into pieces, each goes with a
+    copy of the codes (which are cut too if they alone exceed the limit), and the pieces are dealt
+    out before they are multiplied.
     """
-    codes, meds = visit_sides(medication, diagnostic, **options)
-    left = codes.groupBy(*VISIT).agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    right = meds.groupBy(*VISIT).agg(F.array_sort(F.collect_set("med_name")).alias("meds"))
-    return left.join(right, VISIT)
+    limit = PAIRS_PER_PIECE if limit is None else limit
+    n = F.size("codes").cast("bigint") * F.size("meds")
+    product = lambda df: df.withColumn("code", F.explode("codes")).select(*VISIT, "code", F.explode("meds").alias("med_name"))
+    # sorted, so that a repeated task cuts the same pieces
+    large = visits.where(n > limit).withColumns({"codes": F.array_sort("codes"), "meds": F.array_sort("meds")})
+    codes = large.withColumn("codes", F.explode(_cut("codes", F.lit(limit).cast("bigint"))))
+    width = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.size("codes"))).cast("bigint")
+    pieces = codes.withColumn("meds", F.explode(_cut("meds", width)))
+    parts = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(parts, *VISIT, F.xxhash64("codes", "meds"))
+    return product(visits.where(n <= limit)).unionByName(product(dealt))
 
 
 def visit_pairs(medication: DataFrame, diagnostic: DataFrame, **options) -> DataFrame:
-    """Every (code, medication) of every visit. The pairs are the result itself: each one is an
-    entry of the tensor. Both sides hold distinct rows, so nothing is paired twice."""
-    codes, meds = visit_sides(medication, diagnostic, **options)
-    return codes.join(meds, VISIT)
+    """Every (code, medication) of every visit: each is an entry of the tensor. Both sides hold
+    distinct items, so nothing is paired twice."""
+    return pairs_of(_visit_arrays(*visit_sides(medication, diagnostic, **options)))

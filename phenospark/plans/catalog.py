@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phenospark.functions.rand import uniform
-from phenospark.functions.scalars import argmax_component, binarize, relative_day, rescale, table_name_of
+from phenospark.functions.scalars import argmax_component, binarize, relative_day, rescale, shift_index, table_name_of
 from phenospark.operators import counts as C
 from phenospark.operators import features as FT
 from phenospark.operators import gibbs as G
@@ -426,6 +426,12 @@ def _profile(axis: str) -> Query:
     return run
 
 
+def profiles_patient(spark, folder):
+    """Of the long axis only the counted cells, and each component's probability of all others."""
+    p = _prepare(spark, folder)
+    return _round(C.sparse_profiles(p.counts, p.dims, p.priors, "patient"), 9, "prob")
+
+
 def component_shares(spark, folder):
     return _round(C.component_shares(_prepare(spark, folder).counts), 9, "share")
 
@@ -506,7 +512,7 @@ def ncp_mask(spark, folder):
 
 def ncp_fit(spark, folder):
     p = _prepare(spark, folder)
-    factors, _ = N.ncp_fit(p.tensor.entries, p.dims, iterations=2)
+    factors, _ = N.ncp_fit(p.tensor.entries, p.dims)
     return factors.long()
 
 
@@ -516,7 +522,7 @@ def ncp_matrix_mask(spark, folder):
     axis = build_axis(v, "vec_id", "vector")
     cells = decode_cells(v, axis)
     dims = {"row": axis.size, "col": v.agg(F.max(F.size("embedding"))).first()[0]}
-    factors, _ = N.ncp_fit(cells, dims, rank=N.RANK, iterations=2)
+    factors, _ = N.ncp_fit(cells, dims)
     return N.ncp_mask(cells, factors)
 
 
@@ -582,6 +588,20 @@ def store_clinical_events(spark, folder):
         diag.select(back, "date", "code"), RULES)
 
 
+def _debug_dump(name: str, schema: str) -> Query:
+    def run(spark, folder):
+        path = _out(spark, "debug")
+        VS.visit_sides(*_events(spark, folder), debug_dir=path)
+        return spark.read.csv(f"{path}/{name}", header=True, schema=schema)
+    return run
+
+
+def one_based_triplets(spark, folder):
+    """The coordinates as readers that count from 1 expect them."""
+    entries = _prepare(spark, folder).tensor.entries
+    return entries.select(*[shift_index(a, 1) for a in AXES], "value")
+
+
 def store_csv_table(spark, folder):
     path = _out(spark, "parts")
     proxy.table(spark, folder, "part").select("p_partkey", "p_brand", "p_size").write.csv(path, header=True)
@@ -670,7 +690,7 @@ QUERIES: dict[str, Query] = {
     "apply_deltas": applied_deltas,
     "profiles_med": _profile("med"),
     "profiles_diag": _profile("diag"),
-    "profiles_patient": _profile("patient"),
+    "profiles_patient": profiles_patient,
     "component_shares": component_shares,
     "top_items": top_items,
     "score_triplets": score_triplets,
@@ -689,6 +709,9 @@ QUERIES: dict[str, Query] = {
     "store_dictionary": store_dictionary,
     "store_events_csv": store_events_csv,
     "store_clinical_events": store_clinical_events,
+    "debug_diagnoses": _debug_dump("diag", "subject_id bigint, code string, date int"),
+    "debug_medications": _debug_dump("med", "subject_id bigint, med_name string, date int, assignment int"),
+    "one_based_triplets": one_based_triplets,
     "store_csv_table": store_csv_table,
     "store_candidates": store_candidates,
     "store_profiles": store_profiles,

@@ -19,7 +19,8 @@ def compare_clusterings(labels: DataFrame, feature_sets: dict[str, DataFrame], k
     """
     out = None
     for name, tuples in feature_sets.items():
-        vectors, _ = feature_vectors(tuples)
+        # the scaler reads them twice
+        vectors = materialize(feature_vectors(tuples)[0], f"vectors_{name}")
         scaled = materialize(scale_vectors(vectors).select("subject_id", "scaled"), f"scaled_{name}")
         for method, fit in (("kmeans", kmeans_fit), ("gmm", gmm_fit)):
             model = fit(scaled, "scaled", k=k, seed=seed)

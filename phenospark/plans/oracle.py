@@ -382,7 +382,10 @@ _BODIES: dict[str, str] = {
     "apply_deltas": _counts_of("moved"),
     "profiles_med": _profile("med", "m", "cm"),
     "profiles_diag": _profile("diag", "d", "cd"),
-    "profiles_patient": _profile("patient", "p", "cp"),
+    "profiles_patient": """
+        SELECT 'patient' AS axis, k, idx, round(prob, 9) AS prob
+        FROM (SELECT cp.k, patient AS idx, (cp.cnt + gp) / (t.cnt + np * gp) AS prob FROM cp JOIN tot t ON t.k = cp.k CROSS JOIN gam
+              UNION ALL SELECT k, NULL::BIGINT, gp / (cnt + np * gp) FROM tot CROSS JOIN gam)""",
     "component_shares": "SELECT k, cnt, round(cnt::DOUBLE / n, 9) AS share FROM tot CROSS JOIN dims",
     "top_items": f"""
         SELECT axis, k, idx, round(prob, 9) AS prob, CAST(rank AS INTEGER) AS rank, key AS med_name
@@ -409,6 +412,12 @@ _BODIES: dict[str, str] = {
     "store_dictionary": "SELECT key, idx FROM axis_med",
     "store_events_csv": "SELECT * FROM pairs",
     "store_clinical_events": "SELECT subject_id, label FROM cohort",
+    "debug_diagnoses": f"SELECT subject_id, code, CAST(date_diff('day', DATE '{DAY_ORIGIN}', date) AS INTEGER) AS date FROM diag",
+    "debug_medications": f"""
+        SELECT m.subject_id, m.med_name, CAST(date_diff('day', DATE '{DAY_ORIGIN}', m.date) AS INTEGER) AS date, n.assigned AS assignment
+        FROM med m LEFT JOIN nearest_day n ON n.subject_id = m.subject_id AND n.med_name = m.med_name
+          AND n.day = date_diff('day', DATE '{DAY_ORIGIN}', m.date)""",
+    "one_based_triplets": "SELECT patient + 1 AS patient, diag + 1 AS diag, med + 1 AS med, 1.0::DOUBLE AS value FROM bag",
     "store_csv_table": "SELECT p_brand, count(*) AS n, max(p_size) AS max_size FROM part GROUP BY p_brand",
     "store_candidates": _features("f_med", "above_med"),
     "store_profiles": _profile("diag", "d", "cd"),

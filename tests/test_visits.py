@@ -1,10 +1,11 @@
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from phenospark.operators import joins
 from phenospark.operators.asof import STRATEGIES, asof_backward
 from phenospark.operators.tensor import build_tensor, number_entries, tensor_from_pairs
-from phenospark.operators.visits import build_visits, visit_pairs
+from phenospark.operators.visits import build_visits, pairs_of, visit_pairs
 
 
 def assign(spark, meds, visits, strategy, tolerance=7):
@@ -113,10 +114,31 @@ def test_debug_files(spark, tmp_path):
     assert [(r["date"], r["assignment"]) for r in med] == [("9", "8")]
 
 
-def test_repeated_coordinates_get_their_own_numbers(spark, monkeypatch):
-    from phenospark.operators import axis
-
-    monkeypatch.setattr(axis, "ROWS_PER_TASK", 10)
+def test_repeated_coordinates_get_their_own_numbers(spark):
     entries = spark.range(60).selectExpr("id % 2 as patient", "0L as diag", "0L as med")
     got = number_entries(entries)
     assert sorted(r["rec_id"] for r in got.collect()) == list(range(60))
+
+
+@pytest.mark.parametrize("limit", [None, 1, 7, 1000])
+def test_a_large_visit_is_cut_into_pieces(spark, limit):
+    rows = [(1, 1, ["a", "b"], ["x"]), (1, 2, [f"c{i}" for i in range(60)], [f"m{i}" for i in range(90)]), (2, 1, [f"c{i}" for i in range(400)], ["y"])]
+    visits = spark.createDataFrame(rows, "subject_id bigint, day int, codes array<string>, meds array<string>")
+    got = sorted(map(tuple, pairs_of(visits, limit).collect()))
+    assert got == sorted((s, d, c, m) for s, d, codes, meds in rows for c in codes for m in meds)
+
+
+def test_a_visit_with_a_third_of_the_pairs_spreads_over_tasks(spark):
+    many = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: i.cast("string"))
+    few = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: i.cast("string"))
+    id_ = F.col("id")
+    visits = spark.range(1800).select(
+        id_.alias("subject_id"), F.lit(1).alias("day"), F.when(id_ == 0, many).otherwise(few).alias("codes"), F.when(id_ == 0, many).otherwise(few).alias("meds"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = pairs_of(visits, 1000)
+        assert pairs.count() == 90_000 + 1799 * 100
+        tasks = [r["count"] for r in pairs.where("subject_id = 0").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 90_000 and len(tasks) == 4 and max(tasks) < 45_000
