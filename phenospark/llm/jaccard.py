@@ -1,7 +1,8 @@
 """Similarity join on word n-grams with exact Jaccard links, and the components they form.
 
-Documents with one n-gram set are one node. A node files its prefix (the grams of least hash of
-which a linked node must share one) and its size. Nodes under one gram, in order of size, are cut
+Documents with one n-gram set are one node. A node files its prefix, the first grams of a common
+order of which a linked node must share one, and its size. The order puts frequent grams last, as
+told by a bounded sample of documents, and follows the hash otherwise; any order gives the same links. Nodes under one gram, in order of size, are cut
 into bands wherever the next size is too large to allow the similarity; a gram and a band make a
 tile, split into blocks when very large, and nodes alone in theirs go no further. In a tile only nodes whose sizes allow the similarity are
 compared, first by what is left of their sorted grams from the tile's gram on, then by hashed bitmap
@@ -36,6 +37,8 @@ BITS = 2048
 STAR_FROM = 16
 BLOCK = 8192
 COMPARED_ROWS = 256
+# documents whose grams tell which are frequent, in how many of them, and the longest list of such
+SAMPLE_DOCS, SAMPLE_LEAST, FREQUENT = 4096, 6, 1 << 16
 TILE = ("key", "band", "lo", "hi")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -70,7 +73,40 @@ def fold(raw: bytes, width: int) -> bytes:
     return raw if 8 * len(raw) == width else np.bitwise_or.reduce(np.frombuffer(raw, np.uint8).reshape(-1, width // 8), axis=0).tobytes()
 
 
-def _sketch(n_gram: int, pct: int):
+def _distinct_grams(n_gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in scan(batch.column("text"), lower=True, families=1):
+                values, _ = gram_sets(words, n_gram)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["gram"])
+
+    return run
+
+
+def frequent_grams(base: DataFrame, n_gram: int, docs: int = SAMPLE_DOCS, least: int = SAMPLE_LEAST, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Grams that at least ``least`` of about ``docs`` documents hold, the ``most`` most frequent, in
+    order of their hash, with their counts. Copies of a text count once."""
+    n = base.count()
+    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    sample = base.where(place < min(1.0, docs / max(n, 1))).select("text").distinct()
+    counts = sample.mapInArrow(_distinct_grams(n_gram), "gram bigint").groupBy("gram").count().where(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "gram").limit(most).toPandas()
+    grams_, held = found["gram"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(grams_)
+    return grams_[order], held[order]
+
+
+def rarest_first(values: np.ndarray, rows: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The grams of each row, in the common order; ``values`` are in order of row and hash."""
+    known, held = frequent
+    if not len(known):
+        return values
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    weight = np.where(known[at] == values, held[at], 0)
+    return values[np.lexsort((weight, rows))]
+
+
+def _sketch(n_gram: int, pct: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 18, np.uint64)
         for batch in batches:
@@ -85,13 +121,14 @@ def _sketch(n_gram: int, pct: int):
                 keep = np.where(file, size - -(-pct * size // 100) + 1, 0)
                 ends = np.cumsum(np.append(0, keep))
                 pick = np.repeat(at[:-1] - ends[:-1], keep) + np.arange(ends[-1])
+                ordered = rarest_first(values, np.repeat(np.arange(len(size)), size), shared.value)
                 signed = [bitmap(values[a:b]) if k else None for a, b, k in zip(at, at[1:], file)]
                 long = lambda x: pa.array(np.ascontiguousarray(x).astype(np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(words.first, len(size)), batch.column("rid").slice(words.first, len(size)),
                         long(sid), long(check), pa.array(size.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), long(values[pick])),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), long(ordered[pick])),
                         pa.array([x and fold(x, BITS) for x in signed], pa.binary()), pa.array(signed, pa.binary()),
                     ],
                     ["doc", "rid", "sid", "check", "n", "prefix", "sig", "wide"],
@@ -102,7 +139,12 @@ def _sketch(n_gram: int, pct: int):
 
 def _exact_sets(n_gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            # equal rows name the same set; a task sends it once
+            names = batch.column("sid").to_pylist()
+            new = [not (s in seen or seen.add(s)) for s in names]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for words in scan(batch.column("text"), lower=True, families=1):
                 values, at = gram_sets(words, n_gram)
                 raw = [values[a:b].tobytes() for a, b in zip(at, at[1:])]
@@ -125,6 +167,14 @@ def may_link(n: np.ndarray, left: np.ndarray, bits: np.ndarray, sig: np.ndarray,
     return js[(100 + pct) * overlap >= pct * (n[i] + n[js])]
 
 
+def most_central(sig: np.ndarray, rows: int = 512) -> int:
+    """The signature that agrees best with how often each bit is set; some rows at a time."""
+    bits = lambda i: np.unpackbits(sig[i : i + rows].view(np.uint8), axis=1).astype(np.float32)
+    starts = range(0, len(sig), rows)
+    share = sum(bits(i).sum(axis=0, dtype=np.float64) for i in starts) / len(sig)
+    return int(np.argmax(np.concatenate([bits(i) @ (2.0 * share - 1).astype(np.float32) for i in starts])))
+
+
 def tile_pairs(sid, n, pos, sig, comp, block, pct: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile to check exactly. ``comp`` None: the first round, where (a, a) marks a node that later pairs may need."""
     order = np.argsort(n, kind="stable")
@@ -138,8 +188,7 @@ def tile_pairs(sid, n, pos, sig, comp, block, pct: int, star: bool) -> tuple[np.
         open_ = np.ones(len(n), bool)
         while open_.any():
             at = np.flatnonzero(open_)
-            shown = np.unpackbits(sig[at].view(np.uint8), axis=1)
-            centre = at[int(np.argmax(shown @ (2.0 * shown.mean(axis=0) - 1)))]
+            centre = at[most_central(sig[at])]
             near = at[(100 * n[at] >= pct * n[centre]) & (pct * n[at] <= 100 * n[centre])]
             hits = may_link(n, rest, bits, sig, centre, near[near != centre], pct)
             left.append(np.full(len(hits), centre))
@@ -252,7 +301,8 @@ def _survivors(pairs: DataFrame, filed: DataFrame, pct: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    sets = _needed(sets, pairs)
+    # equal rows of several tasks give a set more than once
+    sets = _needed(sets, pairs).dropDuplicates(["sid"])
     x = sets.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(pct), "a bigint, b bigint")
@@ -297,8 +347,9 @@ def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> t
     prepare(docs.sparkSession, COMPARED_ROWS)
     rid = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     base = docs.select(F.col(key).cast("bigint").alias("doc"), rid.alias("rid"), F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_grams(base, n_gram))
     sketch = materialize(
-        base.mapInArrow(_sketch(n_gram, pct), "doc bigint, rid int, sid bigint, check bigint, n int, prefix array<bigint>, sig binary, wide binary"),
+        base.mapInArrow(_sketch(n_gram, pct, shared), "doc bigint, rid int, sid bigint, check bigint, n int, prefix array<bigint>, sig binary, wide binary"),
         "sketch",
     )
     sketch = _named_apart(sketch)
@@ -306,8 +357,11 @@ def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> t
     tiles = materialize(_banded(filed, pct), "tiles")
     # equal sets filed by several tasks have equal signatures
     sigs = filed.select("sid", "sig").dropDuplicates(["sid"])
-    ends = tiles.where("g = 2").groupBy("key", "band").agg(F.min("sid").alias("a"), F.max("sid").alias("b"))
-    twos = ends.select("a", "b").distinct()
+    node = F.struct("sid", "n", (F.col("n") - F.col("pos")).alias("left"))
+    ends = tiles.where("g = 2").groupBy("key", "band").agg(F.min(node).alias("x"), F.max(node).alias("y"))
+    # as in may_link: what is left of the grams from the tile's on must allow the overlap
+    room = (100 + pct) * F.least("x.left", "y.left") >= pct * (F.col("x.n") + F.col("y.n"))
+    twos = ends.where(room).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     tried = materialize(_in_tiles(tiles.where("g > 2"), sigs, pct, again=False).unionByName(twos).distinct(), "pairs")
     pairs = materialize(_survivors(tried.where("a != b"), filed, pct), "survivors")
 
@@ -318,8 +372,7 @@ def _link_sets(docs: DataFrame, n_gram: int, pct: int, text: str, key: str) -> t
     no_doc = F.col("at.doc").isNull()
     where = materialize(where.select("sid", F.coalesce("at.doc", F.lit(0)).alias("k"), no_doc.alias("none"), F.col("at.rid").alias("rid")), "where")
     keyed = base.select(F.coalesce("doc", F.lit(0)).alias("k"), F.col("doc").isNull().alias("none"), "rid", "text")
-    # equal rows would give the text twice
-    found = lookup(keyed, where, ["k", "none", "rid"], rows=where.count(), row_bytes=48, skewed=False).select("sid", "text").dropDuplicates(["sid"])
+    found = lookup(keyed, where, ["k", "none", "rid"], rows=where.count(), row_bytes=48, skewed=False).select("sid", "text")
     sets = materialize(found.mapInArrow(_exact_sets(n_gram), "sid bigint, grams binary"), "sets")
     links = materialize(_linked(pairs, sets, pct), "links")
 
