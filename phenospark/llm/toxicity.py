@@ -1,10 +1,13 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the distinct hashed character n-grams of its lower-cased, blank-collapsed
-text. Over all labelled training rows, each feature's log ratio of its shares in toxic and other
-documents is counted; a logistic regression is then fitted to the features scaled by those ratios
-on a bounded sample of the labelled rows (``max_fit``, by hash of the key). Scoring sees the text
-alone and covers every document whole.
+text. Over all labelled training rows, each feature's log ratio of the shares of toxic and other
+documents that hold it is counted. Features in fewer than ``MIN_DOCS`` documents, or whose ratio
+is near zero, are left out; the others, scaled by their ratios and each document to unit length,
+go into a logistic regression. It is fitted on a bounded sample of the labelled rows (``max_fit``,
+by hash of key and text) with toxic rows weighing ``TOXIC_WEIGHT``. Keys and labels are joined to
+texts by checked size, no order is taken, and only the sample's feature numbers reach the task that
+fits. Scoring sees the text alone and covers every document whole.
 
 Defined cases: null and empty texts score by the intercept; labels that are null are not learnt
 from; a document labelled more than once counts once per label row; without both classes every
@@ -19,17 +22,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from phenospark.llm.bpe import replace_column, with_field
 from phenospark.llm.common import prepare
+from phenospark.operators.joins import lookup
 from phenospark.runtime import materialize
 
-BITS = 18
-SIZES = (3, 4, 5)
+BITS = 20
+SIZES = (4, 5, 6)
+MIN_DOCS = 5
+LEAST_RATIO = 0.5
+MAX_FIT = 6000
+TOXIC_WEIGHT = 4.0
+STEPS, RATE, PENALTY = 80, 0.5, 1e-4
 
 
 def features(text: str | None) -> np.ndarray:
@@ -51,21 +58,18 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(flags)
 
 
-def damping(at: np.ndarray) -> float:
-    """Common factor of a text's features: long texts have many."""
-    return 3.0 / max(len(at), 1) ** 0.25
-
-
 @dataclass(frozen=True)
 class Model:
-    """Weights already multiplied by the log-count ratios; a fixed size."""
+    """Log-count ratios (0 for features left out) and the weights of the scaled features; a fixed size."""
 
+    ratios: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, text: str | None) -> float:
         at = features(text)
-        z = self.bias + self.weights[at].sum() * damping(at)
+        r = self.ratios[at]
+        z = self.bias + float((r * self.weights[at]).sum()) / max(float(np.sqrt((r * r).sum())), 1e-12)
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -83,39 +87,97 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["feature", "clean", "toxic"])
 
 
-def log_ratios(train: DataFrame, smooth: float = 1.0) -> np.ndarray:
-    """Naive Bayes log-count ratio of every feature over all training rows (text, toxic)."""
+def log_ratios(train: DataFrame, n: dict[int, int], smooth: float = 1.0, min_docs: int = MIN_DOCS, least: float = LEAST_RATIO) -> np.ndarray:
+    """Naive Bayes log-count ratio of every feature over all training rows (text, toxic), of which
+    ``n`` are clean (0) and toxic (1)."""
     sums = train.mapInArrow(_counts, "feature bigint, clean bigint, toxic bigint").groupBy("feature")
-    rows = sums.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    clean, toxic = np.full(1 << BITS, smooth), np.full(1 << BITS, smooth)
-    clean[rows.feature] += rows.clean
-    toxic[rows.feature] += rows.toxic
-    return np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
+    sums = sums.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = sums.where(F.col("clean") + F.col("toxic") >= min_docs).toPandas()
+    r = np.log((rows.toxic + smooth) / (n[1] + 2 * smooth)) - np.log((rows.clean + smooth) / (n[0] + 2 * smooth))
+    out = np.zeros(1 << BITS)
+    out[rows.feature] = np.where(np.abs(r) >= least, r, 0.0)
+    return out
+
+
+class Regression:
+    """Weighted logistic regression on sparse rows of unit length, by Adam over the whole sample."""
+
+    def __init__(self, rows: list[np.ndarray], label: np.ndarray, ratios: np.ndarray):
+        self.bounds = np.cumsum([0, *map(len, rows)])
+        every = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.used, at = np.unique(every, return_inverse=True)
+        self.at = at.astype(np.int32)
+        scaled = ratios[every]
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.bounds))
+        length = np.sqrt(np.bincount(self.row, scaled * scaled, len(rows)))
+        self.value = scaled / np.maximum(length, 1e-12)[self.row]
+        self.label = label
+        share = np.where(label == 1, TOXIC_WEIGHT, 1.0)
+        self.share = share / share.sum()
+
+    def fit(self, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+        w, b = np.zeros(len(self.used)), 0.0
+        mean, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        for step in range(1, steps + 1):
+            z = np.bincount(self.row, self.value * w[self.at], len(self.label)) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - self.label) * self.share
+            slope = np.append(np.bincount(self.at, self.value * error[self.row], len(w)) + penalty * w, error.sum())
+            mean = 0.9 * mean + 0.1 * slope
+            square = 0.999 * square + 0.001 * slope * slope
+            move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+            w, b = w - move[:-1], b - move[-1]
+        return w, float(b)
+
+
+def _fit_rows(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, label = [], []
+        for batch in batches:
+            # in order of key and text, so that the sums round the same way in every run
+            rows += [np.frombuffer(x, np.int32) for x in batch.column("kept").to_pylist()]
+            label += batch.column("toxic").to_pylist()
+        made = Regression(rows, np.array(label, np.float64), shared.value)
+        w, b = made.fit()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(made.used, -1)), pa.array(np.append(w, b))], ["feature", "weight"])
+
+    return run
+
 
+def _kept_features(shared):
+    """Feature numbers that have a ratio, as bytes: far less than the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            kept = [at[shared.value[at] != 0].astype(np.int32).tobytes() for at in found]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(kept, pa.binary()), batch.column("toxic")], ["h", "kept", "toxic"])
+
+    return run
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, reg: float = 1e-3, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Learn from the labelled documents outside the held-out fold."""
+
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, min_docs: int = MIN_DOCS, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+    """Learn from the labelled documents outside the held-out fold: counts from all of them, the
+    regression from about ``max_fit``, which one task holds as feature numbers."""
     spark = docs.sparkSession
     prepare(spark)
-    known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).select(key, (F.col(label) > 0).cast("int").alias("toxic"))
-    rows = docs.where(~held_out(F.col(key))).select(key, F.col(text).alias("text")).join(known, key).select(F.col(key).alias("key"), "text", "toxic")
-    train = materialize(rows, "labelled")
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    known = known.select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("toxic"))
+    texts = docs.where(~held_out(F.col(key))).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    train = materialize(lookup(texts, known, ["key"], rows=known.count(), row_bytes=24), "labelled")
     classes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(classes) < 2:
         share = float(next(iter(classes), 0))
-        return Model(np.zeros(1 << BITS), 60.0 if share else -60.0)
-    ratios = log_ratios(train)
+        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 60.0 if share else -60.0)
+    ratios = log_ratios(train, classes, min_docs=min_docs)
     shared = spark.sparkContext.broadcast(ratios)
-
-    def vector(t: str | None):
-        at = features(t)
-        return Vectors.sparse(1 << BITS, at, shared.value[at] * damping(at))
-
-    sample = train.orderBy(F.xxhash64("key"), "key").limit(max_fit)
-    # the fit keeps these vectors in memory; lost ones are made again from the written table
-    scaled = sample.repartition(4).select(F.udf(vector, VectorUDT())("text").alias("features"), F.col("toxic").cast("double").alias("label"))
-    fitted = LogisticRegression(maxIter=40, regParam=reg, standardization=False, tol=1e-5).fit(scaled)
-    return Model(fitted.coefficients.toArray() * ratios, float(fitted.intercept))
+    u = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    sample = train.withColumn("h", F.xxhash64("key", "text")).where(u < min(1.0, max_fit / sum(classes.values())))
+    numbers = sample.select("h", "text", "toxic").mapInArrow(_kept_features(shared), "h bigint, kept binary, toxic int")
+    fitted = numbers.repartition(1).sortWithinPartitions("h", "kept", "toxic").mapInArrow(_fit_rows(shared), "feature bigint, weight double").toPandas()
+    weights = np.zeros(1 << BITS)
+    inner = fitted[fitted.feature >= 0]
+    weights[inner.feature] = inner.weight
+    return Model(ratios, weights, float(fitted[fitted.feature < 0].weight.iloc[0]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

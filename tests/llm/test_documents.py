@@ -161,3 +161,38 @@ def test_empty_tables(spark, no_docs):
     encoded = bpe.encode(no_docs, shared, public_tokenizers.PATTERN)
     assert bpe.decode(encoded, shared, public_tokenizers.PATTERN).count() == 0
     assert tokencount.count_tokens(no_docs, tokencount.share_tokenizer(spark, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    """Ranking and threshold on labelled documents no training saw."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").collect()}
+    rows = queries.op10_toxicity(spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    held = [(r.score, labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    bad, good = [s for s, t, _ in held if t], [s for s, t, _ in held if not t]
+    assert len(bad) > 100
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert auc >= 0.95
+    assert sum(p for _, t, p in held if t) >= 0.75 * len(bad) and sum(p for _, t, p in held if not t) <= 0.03 * len(good)
+    assert all(r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_toxicity_of_hard_tables(spark):
+    """Clashing columns, very long texts, repeated labels and rows, null keys; equal texts score alike."""
+    rows = [(i, brute.prose(40, i) + (" grumblefex zorgonite" if i % 2 else ""), "old", "a", "b") for i in range(120)]
+    rows += [(500, "grumblefex zorgonite " * 30_000, "", "", ""), (None, "grumblefex zorgonite", "", "", ""), (501, None, "", "", ""), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string, h string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] * 2 + [(None, 1), (7, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    found = toxicity.score(docs, model)
+    assert sorted(found.columns) == sorted(docs.columns) and dict(found.dtypes)["score"] == "double"
+    got = found.collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.text, set()).add(r.score)
+    assert all(len(s) == 1 for s in by.values())
+    assert by["grumblefex zorgonite"].pop() > 0.5 and by[rows[120][1]].pop() > 0.5
+    again = toxicity.fit(docs.repartition(7), labels)
+    assert (again.weights == model.weights).all() and again.bias == model.bias
