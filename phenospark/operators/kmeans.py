@@ -57,6 +57,23 @@ def kmeans_step(df: DataFrame, column: str, centers: np.ndarray) -> DataFrame:
     return sums.select("cluster", "dim", "n", (F.col("s") / F.col("n")).alias("center"))
 
 
+def kmeans_lloyd(
+    df: DataFrame, column: str, centers: np.ndarray, tol: float = 1e-4, max_iter: int = 20
+) -> tuple[np.ndarray, int]:
+    """Lloyd steps from given centres until none moves further than ``tol``; also how many were made.
+    A centre without vectors stays where it is."""
+    centers = np.array(centers, dtype=np.float64)
+    for step in range(1, max_iter + 1):
+        new = centers.copy()
+        for r in kmeans_step(df, column, centers).collect():
+            new[r["cluster"], r["dim"]] = r["center"]
+        moved = np.sqrt(((new - centers) ** 2).sum(axis=1)).max()
+        centers = new
+        if moved <= tol:
+            return centers, step
+    return centers, max_iter
+
+
 def kmeans_fit(vectors: DataFrame, column: str = "features", k: int = 3, max_iter: int = 20, seed: int = 1) -> KMeansModel:
     """Spark's own k-means."""
     return KMeans(featuresCol=column, predictionCol="cluster", k=k, maxIter=max_iter, seed=seed).fit(vectors)

@@ -147,7 +147,7 @@ def ncp_step(
 
 
 def ncp_fit(
-    entries: DataFrame, dims: dict[str, int], rank: int = RANK, iterations: int = 50, seed: int = 1,
+    entries: DataFrame, dims: dict[str, int], rank: int = RANK, iterations: int = 200, seed: int = 1,
     tol: float = 1e-4, limit: int | None = None,
 ) -> tuple[Factors, list[float]]:
     """Factorise entries ``(mode..., value)``; repeated coordinates add up first.

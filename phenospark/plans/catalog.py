@@ -253,6 +253,12 @@ def kmeans_step(spark, folder):
     return _round(KM.kmeans_step(v, "embedding", _class_mixture(v).means), 6, "center")
 
 
+def kmeans_lloyd(spark, folder):
+    v = _vectors(spark, folder)
+    centers, _ = KM.kmeans_lloyd(v, "embedding", _class_mixture(v).means)
+    return KM.kmeans_assign(v, "embedding", centers).select("vec_id", "cluster")
+
+
 def cluster_purity(spark, folder):
     v = _vectors(spark, folder)
     labels = v.select("vec_id", "label")
@@ -662,6 +668,7 @@ QUERIES: dict[str, Query] = {
     "cohort_labels": cohort_labels,
     "kmeans_assign": kmeans_assign,
     "kmeans_step": kmeans_step,
+    "kmeans_lloyd": kmeans_lloyd,
     "purity": cluster_purity,
     "vector_mean": vector_mean,
     "diag_cov": diag_cov,

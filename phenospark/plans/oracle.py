@@ -296,6 +296,92 @@ def _full_step(logs: str, dims: tuple[str, ...]) -> str:
     return f"SELECT * FROM (WITH weighed AS (SELECT * FROM ({resp}) JOIN line USING (rid)) {cells})"
 
 
+# Loops as recursive queries: every round is made from the rows of the round before.
+
+_LLOYD = """
+    SELECT vec_id, CAST(arg_min(g, (dist, g)) AS INTEGER) AS cluster
+    FROM (
+      WITH RECURSIVE fit AS (
+        SELECT 0 AS step, 1.0::DOUBLE AS moved, g, dim, mean FROM par
+        UNION ALL
+        SELECT step, max(sqrt(square)) OVER () AS moved, g, dim, mean
+        FROM (
+          SELECT o.step + 1 AS step, o.g, o.dim, coalesce(n.mean, o.mean) AS mean,
+                 sum((coalesce(n.mean, o.mean) - o.mean) * (coalesce(n.mean, o.mean) - o.mean)) OVER (PARTITION BY o.g) AS square
+          FROM fit o LEFT JOIN (
+            SELECT cluster AS g, dim, avg(x) AS mean
+            FROM emb JOIN (
+              SELECT vec_id, arg_min(g, (dist, g)) AS cluster
+              FROM (SELECT vec_id, f.g, sum((x - mean) * (x - mean)) AS dist FROM emb JOIN fit f USING (dim) GROUP BY vec_id, f.g) GROUP BY vec_id
+            ) USING (vec_id) GROUP BY cluster, dim
+          ) n ON n.g = o.g AND n.dim = o.dim
+          WHERE o.step < 20 AND o.moved > 1e-4)
+      )
+      SELECT vec_id, f.g, sum((x - mean) * (x - mean)) AS dist
+      FROM emb JOIN (SELECT * FROM fit WHERE step = (SELECT max(step) FROM fit)) f USING (dim) GROUP BY vec_id, f.g
+    ) GROUP BY vec_id"""
+
+_EM_DIAGONAL = f"""
+    SELECT vec_id, CAST(arg_min(g, (-p, g)) AS INTEGER) AS cluster
+    FROM (
+      WITH RECURSIVE fit AS (
+        SELECT 0 AS step, NULL::DOUBLE AS ll, par.g, weight, dim, mean, var FROM par JOIN wt ON wt.g = par.g
+        UNION ALL
+        SELECT * FROM (
+          SELECT any_value(step) + 1 AS step, sum(ln(total)) AS ll, q.g, sum(r) / count(*) AS weight, dim, sum(r * x) / sum(r) AS mean,
+                 greatest(sum(r * x * x) / sum(r) - (sum(r * x) / sum(r)) * (sum(r * x) / sum(r)), {EPSILON!r}::DOUBLE) AS var
+          FROM emb JOIN (
+            SELECT vec_id, g, step, p / sum(p) OVER (PARTITION BY vec_id) AS r, sum(p) OVER (PARTITION BY vec_id) AS total
+            FROM (
+              SELECT vec_id, f.g, any_value(step) AS step, {EPSILON!r}::DOUBLE + any_value(weight)
+                * exp(-0.5 * (count(*) * ln(2 * pi()) + sum(ln(var)) + sum((x - mean) * (x - mean) / var))) AS p
+              FROM emb JOIN fit f USING (dim) WHERE step < 100 GROUP BY vec_id, f.g)
+          ) q USING (vec_id) GROUP BY q.g, dim)
+        WHERE (SELECT any_value(ll) FROM fit) IS NULL OR abs(ll - (SELECT any_value(ll) FROM fit)) >= 0.01
+      )
+      SELECT vec_id, f.g, {EPSILON!r}::DOUBLE + any_value(weight)
+        * exp(-0.5 * (count(*) * ln(2 * pi()) + sum(ln(var)) + sum((x - mean) * (x - mean) / var))) AS p
+      FROM emb JOIN (SELECT * FROM fit WHERE step = (SELECT max(step) FROM fit)) f USING (dim) GROUP BY vec_id, f.g
+    ) GROUP BY vec_id"""
+
+
+def _full_density(rows: str) -> str:
+    """The guarded density of each order line under rows with weight, m0..m2 and covariances a..f."""
+    return f"""
+        SELECT *, {EPSILON!r}::DOUBLE + weight * exp(-0.5 * (3 * ln(2 * pi()) + ln(det)
+            + ((d * f - e * e) * y0 * y0 + (a * f - c * c) * y1 * y1 + (a * d - b * b) * y2 * y2
+               + 2 * ((c * e - b * f) * y0 * y1 + (b * e - c * d) * y0 * y2 + (b * c - a * e) * y1 * y2)) / det)) AS p
+        FROM (SELECT line.rid, l_orderkey, l_linenumber, x0, x1, x2, m.*, x0 - m0 AS y0, x1 - m1 AS y1, x2 - m2 AS y2,
+                     a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det
+              FROM line CROSS JOIN ({rows}) m)"""
+
+
+def _about(x: str, y: str) -> str:
+    """Weighted covariance from moments about the old means, which keeps it from cancelling."""
+    return f"sum(r * y{x} * y{y}) / sum(r) - (sum(r * y{x}) / sum(r)) * (sum(r * y{y}) / sum(r))"
+
+
+_EM_FULL = f"""
+    SELECT l_orderkey, l_linenumber, cluster
+    FROM (
+      SELECT rid, any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, CAST(arg_min(g, (-p, g)) AS INTEGER) AS cluster
+      FROM (
+        WITH RECURSIVE fit AS (
+          SELECT 0 AS step, NULL::DOUBLE AS ll, g, weight, m0, m1, m2, a, b, c, d, e, f FROM line_par
+          UNION ALL
+          SELECT * FROM (
+            SELECT any_value(step) + 1 AS step, sum(ln(total)) AS ll, g, sum(r) / count(*) AS weight,
+                   any_value(m0) + sum(r * y0) / sum(r) AS m0, any_value(m1) + sum(r * y1) / sum(r) AS m1, any_value(m2) + sum(r * y2) / sum(r) AS m2,
+                   {_about('0', '0')} AS a, {_about('0', '1')} AS b, {_about('0', '2')} AS c,
+                   {_about('1', '1')} AS d, {_about('1', '2')} AS e, {_about('2', '2')} AS f
+            FROM (SELECT *, p / sum(p) OVER (PARTITION BY rid) AS r, sum(p) OVER (PARTITION BY rid) AS total
+                  FROM ({_full_density('SELECT * FROM fit WHERE step < 100')}))
+            GROUP BY g)
+          WHERE (SELECT any_value(ll) FROM fit) IS NULL OR abs(ll - (SELECT any_value(ll) FROM fit)) >= 0.01
+        )
+        {_full_density('SELECT * FROM fit WHERE step = (SELECT max(step) FROM fit)')}
+      ) GROUP BY rid)"""
+
 _BODIES: dict[str, str] = {
     "relative_day": f"SELECT subject_id, med_name, CAST(date_diff('day', DATE '{DAY_ORIGIN}', date) AS INTEGER) AS day FROM med",
     "asof_visit": "SELECT * FROM nearest_day",
@@ -338,6 +424,9 @@ _BODIES: dict[str, str] = {
     "kmeans_assign": "SELECT vec_id, cluster FROM near",
     "kmeans_step": """
         SELECT cluster, dim, count(*) AS n, round(avg(x), 6) AS center FROM emb JOIN near USING (vec_id) GROUP BY cluster, dim""",
+    "kmeans_lloyd": _LLOYD,
+    "gmm_fit_diagonal": _EM_DIAGONAL,
+    "gmm_fit_full": _EM_FULL,
     "purity": """
         SELECT round(sum(best)::DOUBLE / sum(total), 9) AS purity, CAST(sum(total) AS BIGINT) AS n
         FROM (SELECT cluster, max(c) AS best, sum(c) AS total
