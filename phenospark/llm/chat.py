@@ -3,14 +3,15 @@
 A turn is written ``<s>role\\n text </s>\\n`` (without the blanks). Inside texts and roles every
 ``<``, backslashes, then ``s>`` or ``/s>`` gets one more backslash, so a text never holds a control
 string and unescaping gives back the exact text. A conversation's leading system turns are kept in
-every window. The other turns have token counts whose prefix sums cut the conversation into spans
-of one stride each, aligned to turns; a span's window also repeats the last turns before it up to
-the history budget. Only assistant text that is new in a window is under the loss mask, so each is
-learnt once.
+every window and charged to its budget. The other turns have token counts whose prefix sums are
+cut at multiples of a stride: the turns inside a cell make a span, a turn across a cell's end makes
+one by itself. A span's window also repeats the last turns before it, up to the history budget and
+to what the span leaves of the window's. Only assistant text that is new in a window is under the
+loss mask, so each is learnt once.
 
 Defined cases: null texts and roles are empty; a null turn number sorts first and ties go by role,
-then text, so repeated rows are turns of their own; a turn longer than the budget is a span by
-itself and never cut; a conversation of system turns only gives one window; a null conversation id
+then text, so repeated rows are turns of their own; a window goes past the budget only if its
+system turns and a single other turn do, as turns are never cut; a conversation of system turns only gives one window; a null conversation id
 is one conversation; an empty table gives no windows; extra columns are ignored.
 """
 
@@ -38,9 +39,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    mark = F.lit("\u0001\u0002")
-    plain = F.replace(unescape(role), F.lit("\\\\"), mark)
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), mark, F.lit("\\"))
+    """Doubled backslashes part the role into pieces in which a backslash begins a line end."""
+    pieces = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(pieces, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
@@ -48,8 +49,7 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> Da
 
     Returns conv_id, window (from 0), formatted, n_repeated (leading turns of the window that an
     earlier one already has) and loss_spans, an array of (start, length) in code points of
-    ``formatted``. A window's new turns start within one stride of ``budget - history`` tokens;
-    only its last turn may go past the budget. Words stand for tokens.
+    ``formatted``. Words stand for tokens, with a few more for each turn's frame.
     """
     turns = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -61,28 +61,36 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> Da
         F.row_number().over(in_order).alias("pos"),
         (F.min(F.col("role") == "system").over(so_far)).alias("lead"),
     )
-    body = Window.partitionBy("conv_id").orderBy("pos")
-    stride = F.lit(budget - history)
-    prefix = F.sum(F.when(F.col("lead"), 0).otherwise(F.col("tokens"))).over(body.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("start", F.coalesce(prefix, F.lit(0)))
-    t = t.withColumn("cell", F.when(~F.col("lead"), F.floor(F.col("start") / stride)))
-    # where the next stride's window starts, if a turn starts in that stride at all
-    nxt = Window.partitionBy("conv_id").orderBy("cell").rangeBetween(1, 1)
-    t = t.withColumn("next_start", F.min(F.when(~F.col("lead"), F.col("start"))).over(nxt))
-    has_body = F.max(~F.col("lead")).over(Window.partitionBy("conv_id"))
-    t = t.withColumn("first_cell", F.when(has_body, F.min("cell").over(Window.partitionBy("conv_id"))).otherwise(F.lit(0)))
+    conv = Window.partitionBy("conv_id")
+    before = conv.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumns({
+        "start": F.coalesce(F.sum(F.when(F.col("lead"), 0).otherwise(F.col("tokens"))).over(before), F.lit(0)),
+        "room": F.greatest(F.lit(budget) - F.sum(F.when(F.col("lead"), F.col("tokens")).otherwise(0)).over(conv), F.lit(0)),
+    })
+    # a quarter at most, so that few spans begin within the history of one turn
+    t = t.withColumn("back", F.least(F.lit(history), F.floor(F.col("room") / 4)))
+    t = t.withColumn("stride", F.greatest(F.col("room") - F.col("back"), F.lit(1)))
+    cell, last_cell = F.floor(F.col("start") / F.col("stride")), F.floor((F.col("start") + F.col("tokens") - 1) / F.col("stride"))
+    t = t.withColumn("span", F.when(~F.col("lead"), 2 * cell + (cell != last_cell).cast("bigint")))
+    t = t.withColumn("first_span", F.coalesce(F.min("span").over(conv), F.lit(0)))
 
     role_text = [F.col("role"), F.col("text"), F.col("pos")]
-    own = F.struct(F.col("cell").alias("cell"), F.lit(False).alias("repeated"))
-    again = F.struct((F.col("cell") + 1).alias("cell"), F.lit(True).alias("repeated"))
-    near = F.col("next_start") - F.col("start") <= history
-    placed = t.where(~F.col("lead")).withColumn("at", F.explode(F.when(near, F.array(own, again)).otherwise(F.array(own))))
-    placed = placed.select("conv_id", "at.cell", "at.repeated", *role_text)
-    cells = t.where(~F.col("lead") & (F.col("cell") > F.col("first_cell")))
-    cells = cells.select(F.col("conv_id").alias("w_conv"), F.col("cell").alias("w_cell")).distinct()
-    lead = t.where("lead").select("conv_id", "first_cell", *role_text)
-    firsts = lead.select("conv_id", F.col("first_cell").alias("cell"), F.lit(False).alias("repeated"), *role_text)
-    later = lead.join(cells, F.col("conv_id").eqNullSafe(F.col("w_conv")))
+    of_span = Window.partitionBy("conv_id", "span")
+    turns_ = t.where(~F.col("lead")).withColumns({"begin": F.min("start").over(of_span), "held": F.sum("tokens").over(of_span)})
+    left = F.least(F.col("back"), F.greatest(F.col("room") - F.col("held"), F.lit(0)))
+    mark = F.when(F.col("start") == F.col("begin"), F.struct("span", "begin", left.alias("left")))
+    # the spans that begin within the history's reach after a turn's start
+    ahead = conv.orderBy("start").rangeBetween(1, history)
+    near = F.filter(F.collect_list(mark).over(ahead), lambda m: m["begin"] - F.col("start") <= m["left"])
+    own = F.array(F.struct("span", F.lit(False).alias("repeated")))
+    again = F.transform("near", lambda m: F.struct(m["span"].alias("span"), F.lit(True).alias("repeated")))
+    placed = turns_.withColumn("near", near).withColumn("at", F.explode(F.concat(own, again)))
+    placed = placed.select("conv_id", F.col("at.span").alias("cell"), "at.repeated", *role_text)
+    spans = t.where(~F.col("lead") & (F.col("span") > F.col("first_span")))
+    spans = spans.select(F.col("conv_id").alias("w_conv"), F.col("span").alias("w_cell")).distinct()
+    lead = t.where("lead").select("conv_id", "first_span", *role_text)
+    firsts = lead.select("conv_id", F.col("first_span").alias("cell"), F.lit(False).alias("repeated"), *role_text)
+    later = lead.join(spans, F.col("conv_id").eqNullSafe(F.col("w_conv")))
     later = later.select("conv_id", F.col("w_cell").alias("cell"), F.lit(True).alias("repeated"), *role_text)
     pieces = placed.unionByName(firsts).unionByName(later)
 

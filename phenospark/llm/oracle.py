@@ -105,12 +105,20 @@ s AS (
     coalesce(sum(CASE WHEN lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM n
 ),
-c AS (SELECT *, CASE WHEN NOT lead THEN start // 1792 END AS cell FROM s),
-w AS (SELECT conv_id, cell, min(start) AS begins FROM c WHERE cell IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, greatest(2048 - coalesce(sum(tokens) FILTER (lead) OVER (PARTITION BY conv_id), 0), 0) AS room FROM s),
+h AS (SELECT *, least(256, room // 4) AS back, greatest(room - least(256, room // 4), 1) AS stride FROM l),
+c AS (
+  SELECT *, CASE WHEN NOT lead THEN 2 * (start // stride) + CASE WHEN start // stride <> (start + tokens - 1) // stride THEN 1 ELSE 0 END END AS cell FROM h
+),
+w AS (
+  SELECT conv_id, cell, min(start) AS begins, least(any_value(back), greatest(any_value(room) - sum(tokens), 0)) AS reach
+  FROM c WHERE cell IS NOT NULL GROUP BY ALL
+),
 k AS (SELECT conv_id, count(*) AS n_windows FROM w GROUP BY conv_id),
 history AS (
-  SELECT c.conv_id, sum(chars) AS chars FROM c JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.cell = c.cell + 1
-  WHERE begins - start <= 256 GROUP BY c.conv_id
+  SELECT c.conv_id, sum(chars) AS chars FROM c JOIN w
+    ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND NOT c.lead AND c.start < w.begins AND w.begins - c.start <= w.reach
+  GROUP BY c.conv_id
 ),
 lead AS (SELECT conv_id, sum(chars) AS chars FROM c WHERE lead GROUP BY conv_id),
 body AS (

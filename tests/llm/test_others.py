@@ -38,7 +38,7 @@ def test_chat_reads_back_whole(spark):
         assert got[conv].turns_sha256 == sha("".join(f"{role}\n{t}\n" for *_, role, t in turns))
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
     longest = windows.where("conv_id = 3").select(F.size(F.split("formatted", r"\s+")).alias("n"), "n_repeated").collect()
-    assert len(longest) > 5 and max(r.n for r in longest) <= 2048 + 310 and sum(r.n_repeated > 0 for r in longest) == 0
+    assert len(longest) > 5 and max(r.n for r in longest) <= 2048 and sum(r.n_repeated > 0 for r in longest) == 0
     assert windows.where("conv_id = 1").first().formatted.count("<s>") == 4
     assert chat.digests(chat.chat_windows(spark.createDataFrame([], TURNS))).count() == 0
 
@@ -50,6 +50,34 @@ def test_chat_repeats_history(spark):
     assert all(w.formatted.startswith("<s>system\nsys</s>\n") for w in windows)
 
 
+def test_chat_windows_hold_the_budget(spark):
+    """System turns and history count; only a single turn that is too long goes beyond, and every turn is new once."""
+    rows = []
+    for conv, (lead, n) in enumerate([(0, 100), (300, 100), (1500, 100), (1900, 40), (5000, 60), (10, 700), (10, 1990)]):
+        rows += [(conv, 0, "system", "s " * lead)] if lead else []
+        rows += [(conv, i, ["user", "assistant"][i % 2], f"t{i}x " * ((i * 37) % n + 1)) for i in range(1, 60)]
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    lead = {r[0]: len(r[3].split()) + 4 for r in rows if r[2] == "system"}
+    new = {}
+    for w in windows.collect():
+        turns = [t.split("\n", 1) for t in w.formatted.split("<s>")[1:]]
+        sizes = [len(body.replace("</s>", "").split()) + 4 for role, body in turns if role != "system"]
+        assert sum(role == "system" for role, _ in turns) == (w.conv_id in lead)
+        assert sum(sizes) + lead.get(w.conv_id, 0) <= 2048 or len(sizes) == 1
+        seen = [body.split()[0] for role, body in turns if role != "system"]
+        new[w.conv_id, w.window] = seen
+    back = chat.digests(windows).collect()
+    assert all(r.n_turns == sum(x[0] == r.conv_id for x in rows) for r in back)
+    assert sum(len(v) for v in new.values()) > len(rows)  # some history is repeated
+
+
+def test_chat_reads_odd_roles_back(spark):
+    roles = ["a\u0001\u0002b", "\\", "\\n", "x\ny", "\\\n\\\\n", "<s>", "</s>", "<\\/s>\n", "", "\n", "assistant"]
+    rows = [(1, i, r, f"text {r}") for i, r in enumerate(roles)]
+    (got,) = chat.digests(chat.chat_windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+
+
 PAGE = (
     "<html><body><div class='site-header'>Top</div><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p><b>First  text, with words.<br><p>Second\n one "
     "goes on, and on.</p><div class=ad>Buy</div></article><footer>c</footer></body></html>"
