@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -19,6 +20,10 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"},
 }
+# what may stand in a head; any other tag or text ends one left open
+IN_HEAD = frozenset("head title meta link script style base noscript template".split())
+# tags that no button, selection or option holds; they end one left open
+ENDING = frozenset("body p h1 h2 h3 h4 h5 h6 article main section ul ol dl table header footer nav aside".split())
 SCOPES = frozenset("table ul ol dl html body article section div main aside nav header footer form".split())
 CONTROLS = frozenset("input select textarea button option label".split())
 BOILER_TOKENS = frozenset(
@@ -44,17 +49,27 @@ class Dom(HTMLParser):
         self.runs: list[tuple[int, str]] = []
         self.links: list[int] = []
         self.stack: list[tuple[str, int]] = [("#page", 0)]
+        # how many elements of a name are open, so that no end tag looks for one in vain
+        self.open: Counter = Counter()
         self.unseen = self.anchors = 0
         self.pieces: list[str] = []
         self.linked = 0
-        try:
-            self.feed(html)
-            self.close()
-        except AssertionError:
-            # a declaration the parser gives up on: the text read so far stands
-            pass
+        self.feed(html)
+        self.close()
         self.flush()
 
+    def parse_marked_section(self, i, report=1):
+        """A declaration in brackets is skipped like a comment, whatever it holds."""
+        end = self.rawdata.find(">", i + 3)
+        return -1 if end < 0 else end + 1
+
+    def unknown_decl(self, data):
+        pass
+
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        self.open[tag] += 1
+
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
@@ -67,15 +82,20 @@ class Dom(HTMLParser):
             self.controls[self.stack[-1][1]] += 1
         if tag == "br" or tag in ("img", "hr", "input"):
             self.pieces.append(" ")
+        if self.open["head"] and tag not in IN_HEAD:
+            self.end("head", frozenset())
         if tag in VOID and tag != "hr":
             return
+        if tag in ENDING and self.unseen:
+            for other in ("option", "select", "button"):
+                self.end(other, frozenset())
         if tag in UNSEEN:
-            self.stack.append((tag, self.stack[-1][1]))
+            self.push(tag, self.stack[-1][1])
             self.unseen += 1
             return
         if tag in BLOCKS:
             self.flush()
-            if tag not in ("html",) and any(t == "p" for t, _ in self.stack):
+            if tag != "html":
                 self.end("p", frozenset())
             for other in ENDS.get(tag, ()):
                 self.end(other, SCOPES - {other})
@@ -87,19 +107,22 @@ class Dom(HTMLParser):
             self.boiler.append(sum(t in BOILER_TOKENS for t in tokens))
             self.content.append(sum(t in CONTENT_TOKENS for t in tokens))
             self.controls.append(0)
-            self.stack.append((tag, len(self.tag) - 1))
+            self.push(tag, len(self.tag) - 1)
         else:
             self.anchors += tag == "a"
-            self.stack.append((tag, self.stack[-1][1]))
+            self.push(tag, self.stack[-1][1])
 
     def end(self, tag: str, barrier: frozenset) -> None:
         """Close the innermost open element of that name, unless a barrier element is above it."""
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             name = self.stack[i][0]
             if name == tag:
                 if tag in BLOCKS:
                     self.flush()
                 for closed, _ in self.stack[i:]:
+                    self.open[closed] -= 1
                     self.anchors -= closed == "a"
                     self.unseen -= closed in UNSEEN
                 del self.stack[i:]
@@ -114,6 +137,8 @@ class Dom(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
+        if self.unseen == 1 and self.stack[-1][0] == "head" and data.strip():
+            self.end("head", frozenset())
         if not self.unseen:
             self.pieces.append(data)
             if self.anchors:

@@ -6,13 +6,16 @@ give each node a probability of belonging to the article. A page is then decoded
 all labellings in which everything under a dropped node is dropped, the most probable is taken, so
 no kept block stands inside dropped navigation. The texts of kept nodes come out in page order.
 
-Training needs no hand labels. A bounded sample of pages (``max_pages``, by hash of the key) that
-mark their article is used twice over: as it is, and with its texts set anew in layouts drawn at
-random, whose parts are told by tags or only by class names, so that all the features are learnt.
-
-Defined cases: a null, blank or textless page gives an empty text; broken markup is read as far as
-the parser goes; repeated rows and extra columns pass through; an output's name is replaced; if no
-sampled page marks its article, plain rules on tags and tokens stand in for the trees.
+Training needs no hand labels. A bounded sample of pages (about ``max_pages``, by hash of key and
+page) is used twice over. Pages that mark their article are used as they are: what the mark holds is
+the article, but for navigation, forms and the like told by their tag; blocks inside it whose
+attributes sound like something else teach nothing. And the texts of every sampled page are set anew
+in layouts drawn at random, whose parts are told by tags or only by class names, so that all the
+features are learnt; without a mark, a page's longer texts stand for an article.
+
+Defined cases: a null, blank or textless page gives an empty text; broken markup is read to its end;
+repeated rows and extra columns pass through; an output's name is replaced; if no sampled page has
+text there is nothing to learn from, and no block is dropped.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from phenospark.runtime import materialize
 
 BOILER_TAGS = ("nav", "header", "footer", "aside", "form")
 LAYOUTS = 2
+BLOCKS_IN_LAYOUT = 40
 
 
 @dataclass(frozen=True)
@@ -78,30 +82,46 @@ def _flatten(model) -> Trees:
     return Trees(np.array(f), np.array(t), np.array(l), np.array(r), np.array(v), np.array(roots), max(t.depth for t in model.trees))
 
 
-def parts_of(dom: Dom) -> list[bool] | None:
-    """Which runs lie in the marked article (not in boilerplate inside it); None without a mark."""
+def parts_of(dom: Dom) -> list[bool | None] | None:
+    """Which runs lie in the marked article (None where attributes make it doubtful); None without a mark."""
     n = len(dom.tag)
-    inside, boiler = [False] * n, [False] * n
+    inside, boiler, doubtful = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
-        inside[i] = inside[dom.parent[i]] or dom.tag[i] in ("article", "main")
-        boiler[i] = boiler[dom.parent[i]] or dom.tag[i] in BOILER_TAGS or dom.boiler[i] > 0
-    return [inside[v] and not boiler[v] for v, _ in dom.runs] if any(inside) else None
+        p = dom.parent[i]
+        inside[i] = inside[p] or dom.tag[i] in ("article", "main")
+        boiler[i] = boiler[p] or dom.tag[i] in BOILER_TAGS
+        doubtful[i] = doubtful[p] or dom.boiler[i] > 0
+    if not any(inside):
+        return None
+    return [None if inside[v] and not boiler[v] and doubtful[v] else inside[v] and not boiler[v] for v, _ in dom.runs]
 
 
-def labelled(dom: Dom, keep: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of nodes with text: 1 if some kept run lies in the subtree and own runs are kept."""
+def labelled(dom: Dom, keep: list[bool | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of nodes with text: 1 if some kept run lies in the subtree, 0 if all are
+    known to be dropped; others are left out."""
     n = len(dom.tag)
-    good, text = [0] * n, [0] * n
+    good, known, text = [0] * n, [0] * n, [0] * n
     for (v, _), k in zip(dom.runs, keep):
         text[v] += 1
-        good[v] += k
+        good[v] += k is True
+        known[v] += k is not None
     for i in range(n - 1, 0, -1):
-        good[dom.parent[i]] += good[i]
-        text[dom.parent[i]] += text[i]
-    at = [i for i in range(n) if text[i]]
+        p = dom.parent[i]
+        good[p] += good[i]
+        known[p] += known[i]
+        text[p] += text[i]
+    at = [i for i in range(n) if text[i] and (good[i] or known[i] == text[i])]
     return node_features(dom)[at], np.array([float(good[i] > 0) for i in at])
 
 
+def some_words(text: str, most: int, rnd: random.Random) -> str:
+    """Consecutive words from anywhere in a text."""
+    words = text.split()
+    n = min(len(words), rnd.randrange(1, most + 1))
+    at = rnd.randrange(len(words) - n + 1) if words else 0
+    return " ".join(words[at : at + n])
+
+
 def relaid(blocks: list[str], boiler: list[str], rnd: random.Random) -> tuple[Dom, list[bool]]:
     """A page with the same texts in a random layout, and which of its runs are the article's."""
     esc, keep, out = entities.escape, [], []
@@ -116,14 +136,14 @@ def relaid(blocks: list[str], boiler: list[str], rnd: random.Random) -> tuple[Do
     def boilerplate(kind: str) -> None:
         tag = kind if kind in BOILER_TAGS and rnd.random() < 0.6 else rnd.choice(["div", "section"])
         mark = f' {rnd.choice(["class", "id"])}="{rnd.choice(names[kind])}"' if tag in ("div", "section") or rnd.random() < 0.5 else ""
-        items = [phrase() if kind == "comments" and rnd.random() < 0.5 or not blocks else rnd.choice(blocks)[: rnd.randrange(20, 300)] for _ in range(rnd.randrange(1, 6))]
+        items = [phrase() if kind == "comments" and rnd.random() < 0.5 or not blocks else some_words(rnd.choice(blocks), 45, rnd) for _ in range(rnd.randrange(1, 6))]
         out.append(f"<{tag}{mark}>")
         style = rnd.randrange(3) if kind not in ("nav", "form") else kind == "form" and 3
         if style == 0:
-            out.append("<ul>" + "".join(f'<li><a href="#">{esc(phrase()[:40])}</a></li>' for _ in items) + "</ul>")
+            out.append("<ul>" + "".join(f'<li><a href="#">{esc(some_words(phrase(), 6, rnd))}</a></li>' for _ in items) + "</ul>")
             keep.extend([False] * len(items))
         elif style == 3:
-            out.append(f"<label>{esc(phrase()[:40])}</label> <input name=q><button>ok</button>")
+            out.append(f"<label>{esc(some_words(phrase(), 6, rnd))}</label> <input name=q><button>ok</button>")
             keep.append(False)
         else:
             shown = items if style == 1 else [phrase()]
@@ -163,14 +183,19 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys = [], []
         for html in batch.column("html").to_pylist():
             dom = Dom(html or "")
-            keep = parts_of(dom)
-            if not keep or not any(keep):
+            if not dom.runs:
                 continue
-            made = [(dom, keep)]
+            keep = parts_of(dom)
+            made = [] if keep is None else [(dom, keep)]
             rnd = random.Random(len(html))
+            if keep is None or not any(keep):
+                middle = sorted(len(t) for _, t in dom.runs)[len(dom.runs) // 2]
+                keep = [len(t) >= middle for _, t in dom.runs]
             blocks = [t for (_, t), k in zip(dom.runs, keep) if k]
-            boiler = [t for (_, t), k in zip(dom.runs, keep) if not k]
-            made += [relaid(blocks[:40], boiler, rnd) for _ in range(LAYOUTS)]
+            boiler = [t for (_, t), k in zip(dom.runs, keep) if k is False]
+            # a layout takes some of a very long page's blocks, from anywhere
+            some = lambda: [blocks[i] for i in sorted(rnd.sample(range(len(blocks)), min(len(blocks), BLOCKS_IN_LAYOUT)))]
+            made += [relaid(some(), boiler, rnd) for _ in range(LAYOUTS)]
             for d, k in made:
                 if len(k) == len(d.runs):
                     x, y = labelled(d, k)
@@ -181,10 +206,13 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, max_pages: int = 400, rounds: int = 30, depth: int = 5, html: str = "html", key: str = "page_id") -> Trees | None:
-    """Fit the trees on at most ``max_pages`` pages; None if none of them marks its article."""
+    """Fit the trees on about ``max_pages`` pages; None if none of them has text."""
     prepare(pages.sparkSession)
-    sample = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html"), F.col(key).alias("key"))
-    sample = sample.orderBy(F.xxhash64("key"), "key").limit(max_pages).repartition(6).select("html")
+    sample = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html"), F.xxhash64(F.col(key), F.col(html)).alias("h"))
+    n = sample.count()
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    # dealt out again, as few of many tasks hold a chosen page; equal pages teach once
+    sample = sample.where(place < min(1.0, max_pages / max(n, 1))).dropDuplicates(["h"]).select("html")
     nodes = materialize(sample.mapInArrow(_examples, "x array<double>, label double"), "nodes")
     if nodes.select("label").distinct().count() < 2:
         return None
@@ -217,13 +245,6 @@ def decode(dom: Dom, p: np.ndarray) -> list[bool]:
     return kept
 
 
-def _by_rule(dom: Dom) -> list[bool]:
-    kept = [True] * len(dom.tag)
-    for i in range(1, len(kept)):
-        kept[i] = kept[dom.parent[i]] and dom.tag[i] not in BOILER_TAGS and not dom.boiler[i]
-    return kept
-
-
 def extract(pages: DataFrame, trees: Trees | None, html: str = "html", out: str = "text") -> DataFrame:
     """Add the main text: kept blocks in page order, joined by a blank line."""
     shared = pages.sparkSession.sparkContext.broadcast(trees)
@@ -237,7 +258,7 @@ def extract(pages: DataFrame, trees: Trees | None, html: str = "html", out: str
                 p = model.probability(np.concatenate(found))
                 kept = [decode(d, q) for d, q in zip(doms, np.split(p, np.cumsum([len(x) for x in found])[:-1]))]
             else:
-                kept = [_by_rule(d) for d in doms]
+                kept = [[True] * len(d.tag) for d in doms]
             texts = ["\n\n".join(t for v, t in d.runs if k[v]) for d, k in zip(doms, kept)]
             yield replace_column(batch, out, pa.array(texts, pa.string()))
 
