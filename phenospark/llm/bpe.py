@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 REMEMBERED_BYTES = 64
 
 # classes of the code points below U+0250, for texts that have no others
@@ -215,3 +215,27 @@ def decode(docs: DataFrame, shared, pattern: str, ids: str = "token_ids", out: s
             yield replace_column(batch, out, pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(raw)]))
 
     return docs.mapInArrow(run, with_field(docs.schema, out, BinaryType()))
+
+
+def encode_checked(docs: DataFrame, shared, pattern: str, text: str = "text", out: str = "token_ids", same: str = "round_trip") -> DataFrame:
+    """As :func:`encode` without the text, and whether the ids decode to it (to nothing, if null).
+
+    One pass, so a task needs one Python worker and the decoded bytes never leave it.
+    """
+    schema = with_field(with_field(StructType([f for f in docs.schema.fields if f.name != text]), out, ArrayType(IntegerType())), same, BooleanType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared, pattern)
+        for batch in batches:
+            ids, fine = [], []
+            for t in batch.column(text):
+                t = t.as_py() or ""
+                ids.append(codec.encode(t) if t else np.empty(0, np.int32))
+                fine.append(codec.decode(ids[-1])[0].tobytes() == t.encode("utf-8", "surrogatepass"))
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+            kept = batch.drop_columns([text])
+            kept = replace_column(kept, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield replace_column(kept, same, pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)

@@ -3,11 +3,13 @@
 import hashlib
 
 import numpy as np
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from phenospark.llm import ann, chat, htmltext
+from phenospark.llm import ann, bpe, chat, htmltext
 from phenospark.llm.dom import Dom
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, start string, cell string"
@@ -167,3 +169,22 @@ def test_pipeline_stages(spark, docs, rows, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         left = stage(spark, left, "")
     assert left.count() == 0
+
+
+def test_pipeline_run_is_its_stages(spark, docs, rows, tmp_path):
+    """run() on a folder gives what the stages give one by one, each written and read again; the
+    tokens are the library's and the copies are those of the mix."""
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    left = spark.read.parquet(f"{folder}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = left
+        stage(spark, left, folder).write.parquet(f"{folder}/stage_{i}")
+        left = spark.read.parquet(f"{folder}/stage_{i}")
+    tell = lambda df: sorted((str(r.doc_id), r.n_tokens, tuple(r.token_ids), r.round_trip) for r in df.collect())
+    assert tell(corpus_pipeline.run(spark, folder)) == tell(left) and left.count() > 5
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((str(r.doc_id), tuple(lib.encode_ordinary(r.text or ""))) for r in before.collect())
+    assert [(i, t) for i, _, t, _ in tell(left)] == want
+    assert set(left.columns) == set(docs.columns) - {"text"} | {"n_tokens", "token_ids", "round_trip"} and all(r.round_trip for r in left.collect())
