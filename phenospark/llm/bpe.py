@@ -25,7 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
-REMEMBERED = 250_000
+REMEMBERED = 1_200_000
+#: As many where a worker has other large tables before and after.
+REMEMBERED_IN_STAGES = 250_000
 REMEMBERED_BYTES = 64
 
 # classes of the code points below U+0250, for texts that have no others
@@ -120,7 +122,7 @@ class PreTokens(dict):
 class ByteBpe:
     """Encoder and decoder over one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.ranks = ranks
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
@@ -130,7 +132,7 @@ class ByteBpe:
         self.joined = np.frombuffer(b"".join(pieces), np.uint8)
         self.bytes = [bytes([i]) for i in range(256)]
         self.pattern = pattern
-        self.known = PreTokens(self.encode_piece)
+        self.known = PreTokens(self.encode_piece, remembered)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -162,15 +164,16 @@ def full_pattern(pattern: str):
     return regex.compile(pattern)
 
 
-_loaded: dict[int, ByteBpe] = {}
+_loaded: dict[tuple, ByteBpe] = {}
 
 
-def _codec(shared, pattern: str) -> ByteBpe:
+def _codec(shared, pattern: str, remembered: int = REMEMBERED) -> ByteBpe:
     """This worker's codec; it outlives the task so that later ones find its pre-tokens."""
-    if shared.value[0] not in _loaded:
+    key = (shared.value[0], remembered)
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[shared.value[0]] = ByteBpe(shared.value[1], pattern)
-    return _loaded[shared.value[0]]
+        _loaded[key] = ByteBpe(shared.value[1], pattern, remembered)
+    return _loaded[key]
 
 
 def share_ranks(spark: SparkSession, path: str):
@@ -225,7 +228,7 @@ def encode_checked(docs: DataFrame, shared, pattern: str, text: str = "text", ou
     schema = with_field(with_field(StructType([f for f in docs.schema.fields if f.name != text]), out, ArrayType(IntegerType())), same, BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = _codec(shared, pattern, REMEMBERED_IN_STAGES)
         for batch in batches:
             ids, fine = [], []
             for t in batch.column(text):
