@@ -519,7 +519,7 @@ def ncp_mask(spark, folder):
 def ncp_fit(spark, folder):
     p = _prepare(spark, folder)
     factors, _ = N.ncp_fit(p.tensor.entries, p.dims)
-    return factors.long()
+    return _round(factors.long(), 6, "value")
 
 
 def ncp_matrix_mask(spark, folder):

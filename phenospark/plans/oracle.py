@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from phenospark.functions.rand import halves, uniform_sql, uniform_sql_of
-from phenospark.functions.scalars import DAY_ORIGIN, TABLE_NAME_PATTERN
-from phenospark.operators.counts import ALPHA, GAMMA_BASE, K0, K_MAX
-from phenospark.operators.mixture import EPSILON, SAMPLES_PER_COMPONENT
-from phenospark.operators.ncp import FLOOR, RANK
-from phenospark.plans.catalog import RULES
+# Fixed values, stated here again so that the checks don't share them with the code they check: day
+# origin, name pattern, concentration, prior mass per axis, starting components, slots, machine
+# epsilon, start vectors per component, smallest denominator and rank of a factorisation.
+DAY_ORIGIN = "2500-06-22"
+TABLE_NAME_PATTERN = r"(\w+)(\.csv)?$"
+ALPHA, GAMMA_BASE, K0, K_MAX = 0.5, 50.0, 10, 64
+EPSILON, SAMPLES_PER_COMPONENT = 2.220446049250313e-16, 5
+FLOOR, RANK = 1e-9, 30
+# the rules of the cohort query
+TARGET_CODES, EXCLUDED_CODES, RELATED_CODES = ("1-URGENT", "2-HIGH"), ("5-LOW",), ("1-URGENT",)
+TARGET_DRUGS, EXCLUDED_DRUGS = ("Brand#11", "Brand#12", "Brand#13"), ("Brand#21", "Brand#22")
+SCREENING_TESTS, ABNORMAL_ABOVE = ("view", "click"), {"purchase": 200.0, "error": 250.0}
 
 
 def _in(items: tuple[str, ...]) -> str:
@@ -36,8 +43,7 @@ def _gammas(cells: str, *stream: int) -> str:
         GROUP BY cell"""
 
 
-# Fixed value: slots of the finite form of the mixture.
-_SLOTS = 64
+_SLOTS = K_MAX
 
 
 def _slot_draws(axis: str, letter: str, counts: str, code: int) -> str:
@@ -189,13 +195,13 @@ _STEPS: dict[str, str] = {
     "f_sd": "SELECT idx, stddev_samp(value) AS sd FROM f_grid GROUP BY idx",
     "facts": f"""
         SELECT subject_id,
-          coalesce(bool_or(code IN {_in(RULES.target_codes)}), false) AS target_code,
-          coalesce(bool_or(code IN {_in(RULES.excluded_codes)}), false) AS excluded_code,
-          coalesce(bool_or(code IN {_in(RULES.related_codes)}), false) AS related_code,
-          min(CASE WHEN med_name IN {_in(RULES.target_drugs)} THEN date END) AS first_target,
-          min(CASE WHEN med_name IN {_in(RULES.excluded_drugs)} THEN date END) AS first_excluded,
-          coalesce(bool_or(test_name IN {_in(RULES.screening_tests)}), false) AS screened,
-          coalesce(bool_or({' OR '.join(f"(test_name = '{t}' AND value > {v})" for t, v in RULES.abnormal_above.items())}), false) AS abnormal
+          coalesce(bool_or(code IN {_in(TARGET_CODES)}), false) AS target_code,
+          coalesce(bool_or(code IN {_in(EXCLUDED_CODES)}), false) AS excluded_code,
+          coalesce(bool_or(code IN {_in(RELATED_CODES)}), false) AS related_code,
+          min(CASE WHEN med_name IN {_in(TARGET_DRUGS)} THEN date END) AS first_target,
+          min(CASE WHEN med_name IN {_in(EXCLUDED_DRUGS)} THEN date END) AS first_excluded,
+          coalesce(bool_or(test_name IN {_in(SCREENING_TESTS)}), false) AS screened,
+          coalesce(bool_or({' OR '.join(f"(test_name = '{t}' AND value > {v})" for t, v in ABNORMAL_ABOVE.items())}), false) AS abnormal
         FROM (SELECT subject_id, date, med_name, NULL AS code, NULL AS test_name, NULL::DOUBLE AS value FROM med
               UNION ALL SELECT subject_id, date, NULL, code, NULL, NULL FROM diag
               UNION ALL SELECT subject_id, date, NULL, NULL, test_name, value FROM lab)
@@ -382,6 +388,47 @@ _EM_FULL = f"""
         {_full_density('SELECT * FROM fit WHERE step = (SELECT max(step) FROM fit)')}
       ) GROUP BY rid)"""
 
+
+# One mode is updated per round, in turn; after the third the error decides whether to go on. Every
+# row carries the round, the last error, and whether the fit has ended.
+_NCP_FIT = f"""
+    SELECT mode, idx, CAST(r AS INTEGER) AS r, round(v, 6) AS value
+    FROM (
+      WITH RECURSIVE square AS (SELECT sum(value * value) AS s FROM x),
+      cell AS (
+        SELECT 0 AS m, patient AS i, 1 AS ma, diag AS ia, 2 AS mb, med AS ib, value FROM x
+        UNION ALL SELECT 1, diag, 0, patient, 2, med, value FROM x
+        UNION ALL SELECT 2, med, 0, patient, 1, diag, value FROM x),
+      fit AS (
+        SELECT 0 AS step, NULL::DOUBLE AS err, false AS ended, 0 AS m, idx, r, v FROM fa
+        UNION ALL SELECT 0, NULL, false, 1, idx, r, v FROM fb
+        UNION ALL SELECT 0, NULL, false, 2, idx, r, v FROM fc0
+        UNION ALL
+        SELECT * FROM (
+          WITH now AS (SELECT * FROM fit WHERE NOT ended AND step < 600),
+          turn AS (SELECT any_value(step) % 3 AS m, any_value(step) AS step, any_value(err) AS err FROM now),
+          g AS (SELECT a.m, a.r, b.r AS s, sum(a.v * b.v) AS v FROM now a JOIN now b ON a.m = b.m AND a.idx = b.idx GROUP BY ALL),
+          other AS (SELECT r, s, product(v) AS v FROM g WHERE m <> (SELECT m FROM turn) GROUP BY r, s),
+          num AS (
+            SELECT c.i AS idx, a.r, sum(c.value * a.v * b.v) AS v
+            FROM cell c JOIN turn ON turn.m = c.m JOIN now a ON a.m = c.ma AND a.idx = c.ia JOIN now b ON b.m = c.mb AND b.idx = c.ib AND b.r = a.r
+            GROUP BY c.i, a.r),
+          den AS (
+            SELECT f.idx, o.r, sum(f.v * o.v) AS v FROM now f JOIN turn ON turn.m = f.m JOIN other o ON o.s = f.r GROUP BY f.idx, o.r),
+          new AS (
+            SELECT f.m, f.idx, f.r, f.v * coalesce(num.v, 0) / (den.v + {FLOOR!r}::DOUBLE) AS v, coalesce(num.v, 0) AS num
+            FROM now f JOIN turn ON turn.m = f.m JOIN den ON den.idx = f.idx AND den.r = f.r LEFT JOIN num ON num.idx = f.idx AND num.r = f.r),
+          size AS (
+            SELECT sum(n.v * o.v) AS v FROM (SELECT a.r, b.r AS s, sum(a.v * b.v) AS v FROM new a JOIN new b ON a.idx = b.idx GROUP BY a.r, b.r) n
+              JOIN other o ON o.r = n.r AND o.s = n.s),
+          after AS (
+            SELECT CASE WHEN step % 3 = 2 THEN (SELECT s FROM square) - 2 * (SELECT sum(v * num) FROM new) + (SELECT v FROM size) ELSE err END AS err FROM turn)
+          SELECT turn.step + 1, after.err, coalesce(turn.step % 3 = 2 AND turn.err - after.err < 1e-4 * turn.err, false), rows.m, rows.idx, rows.r, rows.v
+          FROM (SELECT m, idx, r, v FROM new UNION ALL SELECT now.m, idx, r, v FROM now JOIN turn ON turn.m <> now.m) rows, turn, after)
+      )
+      SELECT ['patient', 'diag', 'med'][m + 1] AS mode, idx, r, v FROM fit WHERE step = (SELECT max(step) FROM fit)
+    )"""
+
 _BODIES: dict[str, str] = {
     "relative_day": f"SELECT subject_id, med_name, CAST(date_diff('day', DATE '{DAY_ORIGIN}', date) AS INTEGER) AS day FROM med",
     "asof_visit": "SELECT * FROM nearest_day",
@@ -492,6 +539,7 @@ _BODIES: dict[str, str] = {
         SELECT patient, diag, med, value, round(model, 6) AS model, round(s, 6) AS scaled,
           round({_binarized('model', 0.5)}, 6) AS mask, round({_binarized('s', 0.5)}, 6) AS scaled_mask
         FROM (SELECT *, model / (SELECT max(model) FROM model) AS s FROM model)""",
+    "ncp_fit": _NCP_FIT,
     "top_factor_items": """
         SELECT idx, CAST(r AS INTEGER) AS r, round(v, 9) AS value, CAST(rank AS INTEGER) AS rank, key AS med_name
         FROM (SELECT idx, r, v, row_number() OVER (PARTITION BY r ORDER BY v DESC, idx DESC) AS rank FROM fc)
