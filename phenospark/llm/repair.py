@@ -56,19 +56,26 @@ WHOLE = (0, 3)
 FINE, GONE, CUT = 0, 1, 2
 
 
-def cheapest(rows: list[tuple[str, int]], start: int, goal: int, failed: dict) -> tuple[int, str] | None:
+def least_costs(rows: list[tuple[str, int]]) -> list[int]:
+    """For each row the least that it and all after it can cost, whatever the state."""
+    least = [0] * (len(rows) + 1)
+    for i in range(len(rows) - 1, -1, -1):
+        initial, fault = rows[i]
+        least[i] = least[i + 1] + (DELETE if fault else KEEP if initial and initial in "sua" else REROLE)
+    return least
+
+
+def cheapest(rows: list[tuple[str, int]], start: int, goal: int, failed: dict, least: list[int] | None = None) -> tuple[int, str] | None:
     """(cost, audit) from state ``start`` before the rows to state ``goal`` after them.
 
     ``rows`` holds (initial, FINE or GONE or CUT). ``failed`` keeps, for one goal, the largest
     bound left with which (row, state) was tried in vain. None if the goal can't be reached.
     """
     n = len(rows)
-    if goal == 0 and start or goal == 1 and start > 1 or goal == 1 and start == 0 and not any(r == ("s", FINE) or r == ("s", CUT) for r in rows):
+    # nothing leads back to the first two states
+    if start > goal and goal < 2 or start < goal == 1 and not any(a == "s" and f != GONE for a, f in rows):
         return None
-    least = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        initial, fault = rows[i]
-        least[i] = least[i + 1] + (DELETE if fault else KEEP if initial in "sua" and initial else REROLE)
+    least = least or least_costs(rows)
     for bound in range(least[0], DELETE * n + 2 * INSERT + 1):
         # frames: (row, state, bound left, next edit to try)
         path, frames = [], [[0, start, bound, 0]]
@@ -78,7 +85,7 @@ def cheapest(rows: list[tuple[str, int]], start: int, goal: int, failed: dict) -
             if edit == 0:
                 if i == n and state == goal:
                     return bound - left, "".join(path)
-                if least[i] > left or failed.get((i, state), -1) >= left:
+                if least[i] > left or state > goal and goal < 2 or failed.get((i, state), -1) >= left:
                     edit = 4
             frame[3] = edit + 1
             if edit >= 4:
@@ -159,15 +166,15 @@ class Pieces:
         if len(self.waiting) == PIECE:
             self.search()
 
-    def search(self) -> None:
+    def search(self, goals: tuple[int, ...] = tuple(STATES)) -> None:
         if not self.waiting:
             return
         live = {m for p in self.joined.entries for m in STATES if self.joined.way[p][m]}
-        found = {}
-        for q in STATES:
+        found, least = {}, least_costs(self.waiting)
+        for q in goals:
             failed: dict = {}
             for m in live:
-                hit = cheapest(self.waiting, m, q, failed)
+                hit = cheapest(self.waiting, m, q, failed, least)
                 if hit:
                     found[m, q] = hit
         self.joined.add({k: c for k, (c, _) in found.items()}, {k: a for k, (_, a) in found.items()})
@@ -235,7 +242,7 @@ class Run:
     def record(self, whole: bool) -> dict:
         """A whole run is repaired here; others keep their rows and the audit of each pair of states."""
         p = self.pieces
-        p.search()
+        p.search(WHOLE if whole else tuple(STATES))
         out = {"conv_id": self.conv, "whole": whole, "pid": self.pid, "run": self.number, **self.counts,
                "least": self.least, "most": self.most, "first": self.first, "last": self.last}
         ways = {(a, b): p.joined.way[a][b] for a in p.joined.entries for b in STATES}
