@@ -275,3 +275,14 @@ def test_values_without_records_count_in_the_normaliser(spark):
     df = frame(spark, rows).drop("k")
     first, second = (G.fit_phenotypes(df, dims, sweeps=3, seed=5, limit=limit) for limit in (None, 0))
     assert rows_of(first)[0] == rows_of(second)[0]
+
+
+def test_births_take_the_lowest_free_ids(spark):
+    _, rows = planted(150, seed=3)
+    rows[:, 4] = np.array([0, 3, 7])[rows[:, 4] % 3]
+    df = frame(spark, rows)
+    priors = C.Priors(3000.0, C.Priors.from_dims(DIMS).gamma)
+    got = {r["rec_id"]: r["k"] for r in G.frozen_sweep(df, C.component_counts(df), DIMS, priors).collect()}
+    born = [got[i] for i in sorted(got) if got[i] not in (0, 3, 7)]
+    assert len(got) == 150 and 10 < len(born) < 150
+    assert born == [k for k in range(200) if k not in (0, 3, 7)][: len(born)]
