@@ -518,7 +518,8 @@ _BODIES: dict[str, str] = {
     "apply_deltas": _counts_of("moved"),
     "profiles_med": _profile("med", "m", "cm"),
     "profiles_diag": _profile("diag", "d", "cd"),
-    "profiles_patient": """
+    "profiles_patient": _profile("patient", "p", "cp"),
+    "profiles_patient_sparse": """
         SELECT 'patient' AS axis, k, idx, round(prob, 9) AS prob
         FROM (SELECT cp.k, patient AS idx, (cp.cnt + gp) / (t.cnt + np * gp) AS prob FROM cp JOIN tot t ON t.k = cp.k CROSS JOIN gam
               UNION ALL SELECT k, NULL::BIGINT, gp / (cnt + np * gp) FROM tot CROSS JOIN gam)""",

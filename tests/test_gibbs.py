@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from phenospark.functions.rand import np_uniform
 from phenospark.operators import counts as C
 from phenospark.operators import gibbs as G
+from phenospark.plans import catalog
 from sharded import sharded_sweep
 
 DIMS = {"patient": 30, "diag": 8, "med": 9}
@@ -286,3 +289,14 @@ def test_births_take_the_lowest_free_ids(spark):
     born = [got[i] for i in sorted(got) if got[i] not in (0, 3, 7)]
     assert len(got) == 150 and 10 < len(born) < 150
     assert born == [k for k in range(200) if k not in (0, 3, 7)][: len(born)]
+
+
+def test_patient_profiles_cover_every_patient(spark, monkeypatch):
+    """The registered query gives each component's probability of every patient, counted or not."""
+    assigned = spark.createDataFrame([(0, 0, 0, 0, 0), (1, 1, 0, 1, 4)], "rec_id long, patient long, diag long, med long, k long")
+    dims = {"patient": 3, "diag": 1, "med": 2}
+    held = SimpleNamespace(counts=C.component_counts(assigned), dims=dims, priors=C.Priors.from_dims(dims))
+    monkeypatch.setattr(catalog, "_prepare", lambda spark, folder: held)
+    rows = catalog.QUERIES["profiles_patient"](spark, "").collect()
+    assert sorted((r["k"], r["idx"]) for r in rows) == [(k, i) for k in (0, 4) for i in range(3)]
+    assert abs(sum(r["prob"] for r in rows) - 2) < 1e-6
