@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from phenospark.operators import joins
 from phenospark.operators.asof import STRATEGIES, asof_backward
 from phenospark.operators.tensor import build_tensor, number_entries, tensor_from_pairs
-from phenospark.operators.visits import build_visits, pairs_of, visit_pairs
+from phenospark.operators.visits import build_visits, pairs_of, visit_pairs, visit_sides
+from phenospark.plans import proxy
 
 
 def assign(spark, meds, visits, strategy, tolerance=7):
@@ -67,6 +68,45 @@ def test_one_subject_holding_most_rows(spark):
     kept.release()
 
 
+def test_frequent_keys_are_looked_for_in_stored_rows(spark, monkeypatch, tmp_path):
+    """Looking for keys to cut repeats no join: neither in the medication view nor in its dump."""
+    spark.range(40).selectExpr("id as l_orderkey", "id % 5 as l_partkey", "timestamp '2020-01-02' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "timestamp '2020-01-01' as o_orderdate", "'a' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(5).selectExpr("id as p_partkey", "concat('b', id) as p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    read, real = [], joins.hot_keys
+
+    def watched(df, on, share=None):
+        read.append(df._jdf.queryExecution().analyzed().toString())
+        return real(df, on, share)
+
+    monkeypatch.setattr(joins, "hot_keys", watched)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    med = proxy.medication(spark, str(tmp_path))
+    visit_sides(med, proxy.diagnostic(spark, str(tmp_path)), debug_dir=f"{tmp_path}/debug")
+    dump = spark.read.csv(f"{tmp_path}/debug/med", header=True)
+    assert dump.count() == 40 and dump.where("assignment + 1 = date").count() == 40
+    assert len(read) == 3 and not [p for p in read if "Join" in p]
+
+
+def test_keys_that_only_share_a_hash_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_BUCKETS", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = spark.range(2000).selectExpr("if(id < 100, 7, id) as key", "id as n")
+        assert [r["key"] for r in joins.hot_keys(rows, ["key"]).collect()] == [7]
+        assert joins.hot_keys(spark.range(2000).withColumnRenamed("id", "key"), ["key"]) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_table_too_large_by_its_known_size_is_not_broadcast(spark):
+    """Whatever Spark takes its size to be: arrays count as one element there."""
+    left = spark.range(100).selectExpr("id as key")
+    right = spark.range(100).selectExpr("id as key", "array_repeat(1.0D, 30) as f")
+    plan = joins.lookup(left, right, ["key"], rows=100, limit=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("keys", [50, 500])
 def test_clustered_rows_do_not_move_again(spark, keys):
     """With hot keys (each of 50 holds 2%) and without."""
