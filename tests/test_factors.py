@@ -55,3 +55,22 @@ def test_matrix_as_two_modes(spark):
     assert len(rows) == 36
     assert all(r["mask"] == r["value"] for r in rows)
     assert max(r["scaled"] for r in rows) == 1.0
+
+
+@pytest.mark.parametrize("order", [("patient", "diag", "med"), ("med", "patient", "diag"), ("diag", "med", "patient")])
+def test_one_pass_per_iteration_is_the_same_fit(spark, planted, monkeypatch, order):
+    """The long mode first, between and last; values without entries; past a write of the factors."""
+    dims = dict(zip(("patient", "diag", "med"), planted.shape)) | {"patient": planted.shape[0] + 3}
+    dims = {m: dims[m] for m in order}
+    monkeypatch.setattr(N, "REPLAY", 2)
+    cells = tensor(spark, planted)
+    cells = cells.unionByName(spark.createDataFrame([(0, None, 1, 1.0)], cells.schema))
+    far, want = N.ncp_fit(cells, dims, rank=2, iterations=5, tol=0, limit=0)
+    steps = []
+    monkeypatch.setattr(N, "ncp_step", lambda *a, **k: steps.append(a))
+    near, got = N.ncp_fit(cells, dims, rank=2, iterations=5, tol=0)
+    assert not steps
+    np.testing.assert_allclose(got, want)
+    assert near.modes == far.modes
+    for m in dims:
+        np.testing.assert_allclose(dense(near, m), dense(far, m), atol=1e-12)
