@@ -67,3 +67,18 @@ def test_gamma_draws_have_the_right_moments():
         assert abs(x.var() - shape) < 0.1 * shape + 0.05
     tiny = R.np_log_gamma_draws(np.full(10, 1e-8), np.arange(10), 1)
     assert np.isfinite(tiny).all()
+
+
+def test_half_a_hash_tells_where_a_uniform_may_exceed():
+    u = R.np_uniform(np.arange(50000), 3, 4)
+    for level in (0.0, 0.25, 0.9, 1 - 2.0**-27):
+        may = R.np_may_exceed(np.arange(50000), level, 3, 4)
+        assert may[u > level].all() and (u[may] > level - 2.0**-26).all()
+
+
+def test_negligible_gamma_draws_are_below_all_others():
+    lg = R.np_log_gamma_draws(np.full(20000, 1e-3), np.arange(20000), 1)
+    u = np.log(R.np_uniform(np.arange(20000), 1, 0, 4)) / 1e-3
+    tiny = u <= R.NEGLIGIBLE
+    assert 0.8 < tiny.mean() < 0.95
+    assert np.array_equal(lg[tiny], u[tiny]) and (lg[~tiny] != u[~tiny]).all()

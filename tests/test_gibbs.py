@@ -300,3 +300,50 @@ def test_patient_profiles_cover_every_patient(spark, monkeypatch):
     rows = catalog.QUERIES["profiles_patient"](spark, "").collect()
     assert sorted((r["k"], r["idx"]) for r in rows) == [(k, i) for k in (0, 4) for i in range(3)]
     assert abs(sum(r["prob"] for r in rows) - 2) < 1e-6
+
+
+def many_patients(spark, n=900):
+    """Few records a patient, but for one with a third of them; some patients have none."""
+    rng = np.random.default_rng(11)
+    rows = np.stack([np.arange(n), rng.integers(0, 500, n), rng.integers(0, 8, n), rng.integers(0, 9, n), np.zeros(n, dtype=int)], axis=1)
+    rows[: n // 3, 1] = 4
+    return frame(spark, rows).drop("k"), DIMS | {"patient": 520}
+
+
+def test_rows_of_a_long_axis_draw_as_tables_do(spark, tmp_path):
+    """Past two writes of the counts, with doubled slots, a frequent value and a resumed fit."""
+    df, dims = many_patients(spark)
+    settings = dict(sweeps=10, seed=2, k0=2, k_max=2)
+    far = rows_of(G.fit_phenotypes(df, dims, limit=0, **settings))
+    assert max(r[2] for r in far[1]) > 2
+    assert rows_of(G.fit_phenotypes(df, dims, **settings)) == far
+    G.fit_phenotypes(df, dims, path=str(tmp_path / "fit"), **settings | {"sweeps": 7})
+    assert rows_of(G.fit_phenotypes(df, dims, path=str(tmp_path / "fit"), **settings)) == far
+
+
+def test_a_sweep_over_one_long_axis_is_one_stage(spark, monkeypatch):
+    df, dims = many_patients(spark)
+    context, sweep, stages = spark.sparkContext, G.roomy_sweep, []
+
+    def counted(run, state, number, keep):
+        context.setJobGroup(f"{run.run}-{number}", "")
+        out = sweep(run, state, number, keep)
+        tracker = context.statusTracker()
+        stages.append(sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"{run.run}-{number}")))
+        return out
+
+    monkeypatch.setattr(G, "roomy_sweep", counted)
+    try:
+        G.fit_phenotypes(df, dims, sweeps=7, seed=2)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # the first adds up the gammas of its own sweep too, and every fourth writes the counts
+    assert stages[1:3] == stages[4:6] == [1, 1]
+
+
+def test_a_fit_goes_on_by_tables_when_its_slots_outgrow_the_tasks(spark, monkeypatch):
+    df, dims = many_patients(spark)
+    settings = dict(sweeps=4, seed=2, k0=2, k_max=2)
+    far = rows_of(G.fit_phenotypes(df, dims, limit=0, **settings))
+    monkeypatch.setattr(G._ByRows, "fits", lambda run, k: k <= 4)
+    assert rows_of(G.fit_phenotypes(df, dims, **settings)) == far
