@@ -182,3 +182,14 @@ def test_a_visit_with_a_third_of_the_pairs_spreads_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(tasks) == 90_000 and len(tasks) == 4 and max(tasks) < 45_000
+
+
+def test_visits_take_repeated_rows_without_a_distinct_before_the_join(spark):
+    """All medications are shuffled once; a later diagnosis without a code still takes its days."""
+    med = spark.createDataFrame([(1, "a", "2500-01-02"), (1, "a", "2500-01-02"), (1, "a", "2500-01-03"), (1, "b", "2500-01-05"), (2, "c", "2500-01-02"), (None, "a", "2500-01-02")],
+                                "subject_id long, med_name string, date string")
+    diag = spark.createDataFrame([(1, "x", "2500-01-01"), (1, "x", "2500-01-01"), (1, None, "2500-01-04")], "subject_id long, code string, date string")
+    pairs = visit_pairs(med, diag).select("subject_id", "code", "med_name").collect()
+    assert pairs == [(1, "x", "a")]
+    plan = visit_sides(med, diag)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not [line for line in plan.splitlines() if "Aggregate" in line and "med_name" in line]
