@@ -81,11 +81,19 @@ plan AS (
     CASE WHEN source_size > 0 THEN least(2.0 * source_size, weight * level) / source_size ELSE 0 END::DOUBLE AS rate
   FROM r, level
 ),
-c AS (
-  SELECT doc_id, size, p.*, (floor(rate) + CASE WHEN ('0x' || md5('1:1|' || coalesce(length(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, 'null')
-      || '|' || coalesce(length(text)::VARCHAR || ':' || text, 'null'))[1:13])::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate)
-    THEN 1 ELSE 0 END)::BIGINT AS copies
+j AS (
+  SELECT doc_id, size, text, p.*, md5('1|' || coalesce(doc_id::VARCHAR, 'null')) AS md
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+),
+k AS (SELECT *, ('0x' || md[9:16])::BIGINT % ceil(n_docs / 4096)::BIGINT AS chunk FROM j),
+e AS (
+  SELECT *, row_number() OVER (PARTITION BY source, chunk ORDER BY length(bin(size)), md, doc_id, coalesce(md5(text), ''))::DOUBLE AS rank,
+    rate - floor(rate) AS fraction,
+    ('0x' || md5('1|' || coalesce('s' || source, 'null') || '|' || chunk::VARCHAR)[1:8])::BIGINT / 4294967296.0::DOUBLE AS phase
+  FROM k
+),
+c AS (
+  SELECT *, (floor(rate) + floor(rank * fraction + phase) - floor((rank - 1) * fraction + phase))::BIGINT AS copies FROM e
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """

@@ -94,6 +94,20 @@ def test_mixing_comes_near_its_targets(spark):
         assert abs(r.taken - r.target) <= 4 * r["var"] ** 0.5 + 1e-6
 
 
+def test_mixing_walks_to_its_targets(spark):
+    """Documents of one size, some without a key and all equal: a chunk's copies miss its share by less than one."""
+    made = spark.range(9000).select(
+        F.when(F.col("id") % 9 > 2, F.col("id")).alias("doc_id"), F.lit("six words are in this text").alias("text"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("source"))
+    mixed = mixing.mix_sources(made)
+    sums = mixed.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most"), F.count("*").alias("n"))
+    for r in sums.collect():
+        assert r.n == 3000 and r.most <= 2 and abs(r.taken - r.target) < 6
+    equal = mixed.where("doc_id IS NULL AND source = 's2'").groupBy("copies").count().collect()
+    assert len(equal) == 2 and sum(r["count"] for r in equal) == 1000
+
+
 def test_mixing_reruns_agree_however_rows_lie(spark):
     """Null, equal and repeated keys; another order and split of the rows gives the same copies."""
     rows = [(None if i % 3 == 0 else i % 40, brute.prose(i % 30, i % 50) if i % 7 else None, ["a", "b", "c", None][i % 4], "x", "y", "z") for i in range(600)]
