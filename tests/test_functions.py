@@ -76,6 +76,18 @@ def test_half_a_hash_tells_where_a_uniform_may_exceed():
         assert may[u > level].all() and (u[may] > level - 2.0**-26).all()
 
 
+def test_rows_of_numbers_exceed_where_single_ones_may(monkeypatch):
+    """In pieces, across the lower half's end and beyond it."""
+    monkeypatch.setattr(R, "CACHED_CELLS", 500)
+    for start in (0, 2**32 - 3000, 2**40):
+        for width in (1, 64, 1000):
+            first = start + np.arange(40) * width
+            numbers = first[:, None] + np.arange(width)
+            for level in (0.0, 0.25, 0.998, 1 - 2.0**-27, 1.0):
+                want = np.flatnonzero(R.np_may_exceed(numbers.ravel(), level, 3, 4))
+                assert np.array_equal(R.np_exceeding(first, width, level, 3, 4), want)
+
+
 def test_negligible_gamma_draws_are_below_all_others():
     lg = R.np_log_gamma_draws(np.full(20000, 1e-3), np.arange(20000), 1)
     u = np.log(R.np_uniform(np.arange(20000), 1, 0, 4)) / 1e-3

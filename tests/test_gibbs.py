@@ -347,3 +347,31 @@ def test_a_fit_goes_on_by_tables_when_its_slots_outgrow_the_tasks(spark, monkeyp
     far = rows_of(G.fit_phenotypes(df, dims, limit=0, **settings))
     monkeypatch.setattr(G._ByRows, "fits", lambda run, k: k <= 4)
     assert rows_of(G.fit_phenotypes(df, dims, **settings)) == far
+
+
+def test_a_block_of_values_holds_stored_and_likely_cells_only():
+    """The draws of a block are those of every cell that has records or may matter, and of no other."""
+    k, g, level, key = 512, 1e-3, np.exp(-0.1), (1, 2, 1)
+    idx, rare = np.arange(50, 450), np.arange(400) % 7 > 0
+    counts = G._Cells(np.array([3, 3, 6, 7]), np.array([1, 500, 5, 0]), np.array([2, 1, 4, 9]))
+    got = G._ordinary_draws(idx, rare, counts, k, g, level, key)
+    dense = np.zeros((400, k))
+    dense[counts.value, counts.slot] = counts.n
+    every = G.np_log_gamma_draws(dense + g, idx[:, None] * k + np.arange(k), *key)
+    assert len(got.n) < 0.2 * every.size and (np.diff(got.value * k + got.slot) > 0).all()
+    assert np.array_equal(got.n, every[got.value, got.slot]) and rare[got.value].all()
+    left = np.ones((400, k), dtype=bool)
+    left[got.value, got.slot] = False
+    assert (every[left & rare[:, None]] < -99.9).all() and not left[3, [1, 500]].any() and not left[6, 5]
+
+
+def test_counts_are_written_sooner_where_sweeps_are_long(spark, monkeypatch):
+    """When a task would go through many cells again, and the rows stay the same."""
+    df, dims = many_patients(spark)
+    monkeypatch.setattr(G, "REPLAY_CELLS", 1)
+    written = []
+    monkeypatch.setattr(G, "materialize", lambda t, name, slot=None: (written.append(name), G_materialize(t, name, slot))[1])
+    soon = rows_of(G.fit_phenotypes(df, dims, sweeps=3, seed=2))
+    assert written.count("rows") == 4
+    monkeypatch.setattr(G, "REPLAY_CELLS", 1 << 40)
+    assert rows_of(G.fit_phenotypes(df, dims, sweeps=3, seed=2)) == soon
